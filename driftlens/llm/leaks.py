@@ -241,12 +241,24 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
     return out.distinct()
 
 
+_BUILT: dict[int, Index] = {}
+
+
+def _index(block: Broadcast) -> Index:
+    """The index of a block, built once in each Python worker."""
+    key = hash(tuple(block.value))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Index(block.value)
+    return _BUILT[key]
+
+
 def _finder(block: Broadcast) -> Callable[[Column], Column]:
     """A function of a text column for the items in ``block``."""
 
     @F.pandas_udf("array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(block.value)
+        index = _index(block)
         for texts in batches:
             yield pd.Series([index.leaks(t) if t else [] for t in texts.tolist()])
 

@@ -16,6 +16,16 @@ def iso_instant(text: Column) -> Column:
     Only written date-times count: a date alone, month 13 or hour 25 give null, while a valid but implausible
     date (1970-01-01) stays. The session's time zone has no influence.
     """
+    clock, zone = _parts(text)
+    return F.concat(clock, zone).try_cast("timestamp")
+
+
+def iso_wall(text: Column) -> Column:
+    """The date and time as written, whatever the offset."""
+    return _parts(text)[0].try_cast("timestamp_ntz")
+
+
+def _parts(text: Column) -> tuple[Column, Column]:
     t = F.trim(text)
     # Missing groups come out empty: seconds get a leading 0 that is cut again where two digits follow.
     flat = F.when(t.rlike(ISO_EXTENDED), F.regexp_replace(t, ISO_EXTENDED, "$1-$2-$3T$4:$5:0$6.0$7|$8")).when(
@@ -25,7 +35,7 @@ def iso_instant(text: Column) -> Column:
     clock = F.regexp_replace(clock, r"\.0([0-9])", ".$1")
     offset = F.regexp_replace(F.upper(F.substring_index(flat, "|", -1)), r"^([+\-][0-9]{2}):?([0-9]{2})$", "$1:$2")
     zone = F.when(offset == "", "Z").when(F.length(offset) == 3, F.concat(offset, F.lit(":00"))).otherwise(offset)
-    return F.concat(clock, zone).try_cast("timestamp")
+    return clock, zone
 
 
 def micros(instant: Column) -> Column:

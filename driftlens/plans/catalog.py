@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftlens.plans import events
+from driftlens.plans import events, features, scoring
 
-_PARTS = (events,)
+_PARTS = (events, features, scoring)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
-FLAGSHIP = "p4_found"
+FLAGSHIP = "evaluate_rule"

@@ -48,7 +48,8 @@ def account_names(messages: DataFrame, users: DataFrame, user_id: str = "user_id
     seen = (
         messages.groupBy(F.col(user_id).alias("spelling"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(account_key(F.col("spelling")).alias("account"), "spelling", F.lit(1).alias("_rank"), "_n")
+        # The key depends on the count, so that the optimizer can't move it, and its patterns, below the aggregate.
+        .select(F.when(F.col("_n") > 0, account_key(F.col("spelling"))).alias("account"), "spelling", F.lit(1).alias("_rank"), "_n")
     )
     return (
         known.unionByName(seen)

@@ -22,7 +22,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions.accounts import account_key
@@ -82,21 +82,21 @@ def _spelled(user_id: Column) -> Column:
 
 def entity_edges(messages: DataFrame) -> DataFrame:
     """Distinct pairs of entities that a record links: spelling and account, and spellings of one message."""
-    spelled = messages.where(F.col("user_id").isNotNull())
-    key = account_key(F.col("user_id"))
-    same_account = spelled.select("user_id").distinct().where(key.isNotNull()).select(_spelled(F.col("user_id")).alias("u"), F.concat(F.lit("k:"), key).alias("v"))
-    several = (
-        spelled.where(key.isNotNull() & F.col("message_id").isNotNull())
-        .groupBy("message_id")
-        .agg(F.min("user_id").alias("a"), F.max("user_id").alias("b"), F.count(F.lit(1)).alias("n"))
-        .where("a != b")
-    )
-    # Spellings between the smallest and the largest of a message are linked as well: each to the smallest.
+    spelled = messages.where(F.col("user_id").isNotNull()).select("message_id", "user_id")
+    key = account_key(F.col("user_id"))  # worked out once for each spelling, not for each row
+    # It depends on the count, so that the optimizer can't move it below the aggregate.
+    counted = spelled.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.when(F.col("n") > 0, key))
+    same_account = counted.where(F.col("key").isNotNull()).select(_spelled(F.col("user_id")).alias("u"), F.concat(F.lit("k:"), F.col("key")).alias("v"))
+    # A message's spellings in order make a chain, which links them all.
+    by_message = Window.partitionBy("message_id").orderBy("user_id")
     linked = (
-        spelled.join(several.select("message_id", "a"), "message_id")
-        .where("user_id != a")
-        .select(_spelled(F.col("a")).alias("u"), _spelled(F.col("user_id")).alias("v"))
-        .distinct()
+        spelled.where(F.col("message_id").isNotNull())
+        .withColumn("before", F.lag("user_id").over(by_message))
+        .where("before != user_id")
+        .groupBy("before", "user_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") > 0) & F.when(F.col("n") > 0, key).isNotNull() & F.when(F.col("n") > 0, account_key(F.col("before"))).isNotNull())
+        .select(_spelled(F.col("before")).alias("u"), _spelled(F.col("user_id")).alias("v"))
     )
     return same_account.union(linked)
 

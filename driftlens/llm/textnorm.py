@@ -14,7 +14,7 @@ LOOKALIKES = str.maketrans(
 LEET = str.maketrans("013457$@!|+89", "oieastsailtbg")
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
-TOKEN = re.compile(r"[^\W_]+(?:[@$!|+*'’][^\W_]+|[@$|+*](?=[^\W_]))*[@$*]?|[@$*]+[^\W_][\w@$!|+*]*")
+TOKEN = re.compile(r"[^\W_]+(?:[@$!|+*'’][^\W_]+|[@$|+*](?=[^\W_]))*[@$*]?|[@$*!]+[^\W_][\w@$!|+*]*")
 REPEAT = re.compile(r"(.)\1\1+")
 WORDISH = re.compile(r"[a-z]")
 
@@ -63,6 +63,8 @@ class Words:
             if "'" in w:
                 return tuple(x for part in w.split("'") for x in self._plain(part))
             bare = w.translate(LEET)
+            if "!" in w and bare not in self.known:  # an exclamation mark after all
+                return tuple(x for part in w.split("!") if part for x in self._plain(part))
             if "*" in bare:
                 w = self.masked.get(bare) or self.masked.get(bare.rstrip("*")) or bare.replace("*", "")
             elif bare.isalpha():

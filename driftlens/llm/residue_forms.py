@@ -9,7 +9,7 @@ from typing import NamedTuple
 from driftlens.llm.textnorm import fold, join_spaced
 
 _ID = r"[A-Za-zÀ-ÿ_][\w.\-]{0,40}"
-_ASK = r"(?:insert|add|enter|your|fill in|put|type|replace|name of|placeholder|todo|tbd|inserte|inserta|insertar|su |tu |escriba|rellenar|ins[ée]rer|votre|saisir|à compl[ée]ter|a completer|einf[üu]gen|ihr |ihre |hier |name |platzhalter|link|date|company|customer|first|last|client|nombre|pr[ée]nom|nom )"
+_ASK = r"(?i:insert|add|enter|your|fill in|put|type|replace|name of|placeholder|todo|tbd|inserte|inserta|insertar|su |tu |escriba|rellenar|ins[ée]rer|votre|saisir|à compl[ée]ter|a completer|einf[üu]gen|ihr |ihre |hier |name |platzhalter|link|date|company|customer|first|last|client|nombre|pr[ée]nom|nom )"
 #: Fixed list: element names of HTML, whose tags are mark-up and no slot.
 _HTML = "a abbr article aside b blockquote body br button caption center cite code col dd del details div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark meta nav ol option p path pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video".replace(" link ", " ").split()
 #: Words in square brackets that editors and transcripts use.
@@ -26,7 +26,7 @@ SLOT = re.compile(
             rf"(?P<angle><(?:{_ASK}[^<>\n]{{0,40}}|{_ID})>|<!--[^<>\n]{{0,60}}(?:here|hier|aqu[ií]|ici|goes|todo|placeholder|insert)[^<>\n]{{0,40}}-->)",
             rf"(?P<curly>\{{(?:{_ID}|\d{{1,2}})\}})",
             r"(?P<paren>\((?:add|insert|enter|put|your|inserte|insertar|ins[ée]rer|ajouter|einf[üu]gen|hier|à compl[ée]ter)\b[^()\n]{2,40}\)|\((?:name|date|link|nombre|fecha|nom|datum)\))",
-            r"(?P<blank>(?<!\w)X{2,}[/.\-]X{2,}(?:[/.\-]X{2,})?(?!\w)|(?<!\w)(?:DD|TT|JJ|MM)[/.\-](?:MM|DD)[/.\-](?:Y{4}|J{4}|A{4})(?!\w)|(?<![\w_])_{3,}(?![\w_])|(?<!\w)(?:TBD|TODO|FIXME)(?:_\w+)?(?!\w)|(?<!\w)(undefined|null|NaN|None|nil)(?: \d| \1)(?!\w))",
+            r"(?P<blank>(?<!\w)X{2,}[/.\-]X{2,}(?:[/.\-]X{2,})?(?!\w)|(?<!\w)(?:DD|TT|JJ|MM)[/.\-](?:MM|DD)[/.\-](?:Y{4}|J{4}|A{4})(?!\w)|(?<![\w_])_{3,}(?![\w_])|(?<!\w)(?:TBD|TODO|FIXME)(?:_\w+)?(?!\w)|(?<!\w)(?P<same>undefined|null|NaN|None|nil)(?: \d{1,3}| (?P=same))(?!\w))",
             r"(?P<printf>(?<![\w%])%[sd](?!\w))",
         ]
     )

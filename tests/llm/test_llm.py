@@ -185,7 +185,7 @@ def test_mixture_reaches_its_shares(spark):
         assert got[s]["actual_share"] == pytest.approx(share / 0.95, abs=0.01)
     assert got["absent"]["n_docs"] == 0
     copies = {(r["source"], r["doc_id"]): r["copies"] for r in mixed.collect()}
-    assert max(c for (s, _), c in copies.items() if s == "tiny") == 8
+    assert 1 < max(c for (s, _), c in copies.items() if s == "tiny") <= 8
     assert max(c for (s, _), c in copies.items() if s == "big") == 1
     assert len(copies) == mixed.count()
 

@@ -139,11 +139,11 @@ def test_bootstrap_covers_the_estimate(spark):
         assert r["low"] <= c[r["measure"]] <= r["high"]
 
 
-@pytest.mark.parametrize("model", [forest.isolation_forest, forest.reconstruction, lambda *a: forest.autoencoder(*a, epochs=5)])
+@pytest.mark.parametrize("model", [forest.isolation_forest, lambda *a: forest.reconstruction(*a, k=2), lambda *a: forest.autoencoder(*a, epochs=5)])
 def test_planted_outliers_rank_high(spark, model):
     rng = np.random.default_rng(3)
     low = rng.normal(size=(300, 2)) @ rng.normal(size=(2, 20))
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(low)] + [(1000 + i, [float(v) for v in rng.normal(size=20) * 8]) for i in range(5)]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(low)] + [(1000 + i, [float(v) for v in rng.normal(size=20) * 4]) for i in range(5)]
     df = spark.createDataFrame([*rows, (2000, None)], "id int, v array<double>")
     ranked = [r["id"] for r in model(df, "id", "v").where("id < 2000").orderBy(F.desc("score")).collect()]
     assert all(1000 + i in ranked[:31] for i in range(5))

@@ -9,6 +9,7 @@ from driftlens.operators import forest, metrics, profiles, scoring, vectors
 from driftlens.plans.events import instant_sql, key_sql
 from driftlens.plans.scoring import EVALUATED_SQL, VERDICT
 from driftlens.sources.tables import table, tables
+from driftlens.storage import cut
 
 
 def _by_dim(made: DataFrame) -> DataFrame:
@@ -49,8 +50,10 @@ def iso_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     messages, records, users = tables(spark, folder, "messages", "message_records", "users")
-    rows = scoring.evaluate(messages, profiles.build(records, users))
-    return rows.select(F.col("account").alias("user_id"), "id", F.round("score", 6).alias("score"), "should_flag", "anomaly_type", "attack_phase", "mechanism", "semantic", "linguistic", "temporal", "weighted")
+    rows = scoring.composite(scoring.components(scoring.facts(scoring.with_profile(scoring.current(messages), profiles.build(records, users)))))
+    narrow = rows.select(F.col("account").alias("user_id"), "id", F.round("score", 6).alias("score"), "should_flag", "anomaly_type", "attack_phase", "mechanism", "weighted")
+    # Written once: a measure's filter on the score would else be pushed down with all that the score is made of.
+    return cut(narrow, "predictions")
 
 
 _RATES = ["precision", "recall", "f1", "accuracy", "fpr", "fnr", "mcc"]

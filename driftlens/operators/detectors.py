@@ -18,23 +18,31 @@ def content_safety(text: Column, amplify: bool = True) -> dict[str, Column]:
     A category counts its weight times half, and a quarter more for each matching pattern, up to one. The
     largest counts, with a tenth more for each further category; high-risk operations add to it.
     """
-    hits = [(name, weight, T.count_matches(text, patterns)) for name, weight, patterns in X.HAZARDS]
-    scores = [(name, F.when(n > 0, F.lit(weight) * F.least(F.lit(1.0), 0.5 + 0.25 * n))) for name, weight, n in hits]
-    best = F.coalesce(F.greatest(*[s for _, s in scores]), F.lit(0.0))
-    k = sum((F.when(s.isNotNull(), 1).otherwise(0) for _, s in scores), F.lit(0))
+    found = hazard_verdict(text, amplify)
+    return {c: found[c] for c in ("score", "is_anomaly", "categories", "category_scores")}
+
+
+def hazard_verdict(text: Column, amplify: bool = True) -> Column:
+    """The same as one struct: to be made a column first where several of its fields are used."""
+    counts = F.array(*[T.count_matches(text, patterns) for _, _, patterns in X.HAZARDS], T.count_matches(text, X.HIGH_RISK_OPS) if amplify else F.lit(0))
+    return T.let(counts, _hazard)
+
+
+def _hazard(counts: Column) -> Column:
+    """The verdict on the numbers of matching patterns by category, and of high-risk operations last."""
+    names = [n for n, *_ in X.HAZARDS]
+    hits = [counts[i] for i in range(len(names))]
+    scores = [F.when(n > 0, F.lit(weight) * F.least(F.lit(1.0), 0.5 + 0.25 * n)) for n, (_, weight, _) in zip(hits, X.HAZARDS, strict=True)]
+    ops = counts[len(names)]
+    best = F.coalesce(F.greatest(*scores), F.lit(0.0))
+    k = sum(((n > 0).cast("int") for n in hits), F.lit(0))
     combined = F.when(k > 1, F.least(F.lit(1.0), best + 0.10 * (k - 1))).otherwise(best)
-    ops = T.count_matches(text, X.HIGH_RISK_OPS) if amplify else F.lit(0)
     final = F.when(ops > 0, F.least(F.lit(1.0), combined + 0.15 * ops)).otherwise(combined)
-    abuse = dict(scores)["S2_account_abuse"]
-    names = [F.when(s.isNotNull(), F.lit(n)) for n, s in scores] + [F.when((ops > 0) & abuse.isNull(), F.lit("high_risk_operation"))]
-    values = [s for _, s in scores] + [F.when((ops > 0) & abuse.isNull(), 0.15 * ops)]
-    pairs = F.filter(F.array(*[F.struct(n.alias("key"), F.round(v, 3).alias("value")) for n, v in zip(names, values, strict=True)]), lambda p: p["key"].isNotNull())
-    return {
-        "score": final,
-        "is_anomaly": final > 0.50,
-        "categories": F.array_compact(F.array(*names)),
-        "category_scores": F.map_from_entries(pairs),
-    }
+    alone = (ops > 0) & (hits[names.index("S2_account_abuse")] == 0)
+    labels = [F.when(n > 0, F.lit(name)) for n, name in zip(hits, names, strict=True)] + [F.when(alone, F.lit("high_risk_operation"))]
+    values = [*scores, F.when(alone, 0.15 * ops)]
+    pairs = F.filter(F.array(*[F.struct(n.alias("key"), F.round(v, 3).alias("value")) for n, v in zip(labels, values, strict=True)]), lambda p: p["key"].isNotNull())
+    return F.struct(final.alias("score"), (final > 0.50).alias("is_anomaly"), F.array_compact(F.array(*labels)).alias("categories"), F.map_from_entries(pairs).alias("category_scores"))
 
 
 def recent_count(account: str, us: str, seconds: int = 60) -> Column:
@@ -45,24 +53,34 @@ def recent_count(account: str, us: str, seconds: int = 60) -> Column:
 
 def rule_score(text: Column, recent: Column, threshold: int = 10, shortest: int = 10, longest: int = 500) -> dict[str, Column]:
     """``score`` and ``rules`` (array) of keywords, patterns, rate, length, capitals and punctuation."""
-    low = F.lower(text)
-    n_words = sum((F.contains(low, F.lit(k)).cast("int") for k in X.RISK_KEYWORDS), F.lit(0))
-    parts = [(n_words > 0, F.least(n_words * 0.15, F.lit(0.4)), F.concat(F.lit("high_risk_keywords: "), n_words.cast("string")))]
-    for p in X.RULE_PATTERNS:
-        body = p.removeprefix("(?i)")
-        hit = text.rlike(("(?iU)" if p.startswith("(?i)") else "(?U)") + body)
-        parts.append((hit, F.lit(0.25), F.lit("suspicious_pattern: " + p[:30])))
-    n = F.length(text)
+    found = rule_verdict(text, recent, threshold, shortest, longest)
+    return {"score": found["score"], "rules": found["rules"]}
+
+
+def rule_verdict(text: Column, recent: Column, threshold: int = 10, shortest: int = 10, longest: int = 500) -> Column:
+    """The same as one struct."""
+    words = F.array(*[F.lit(k) for k in X.RISK_KEYWORDS])
+    n_words = T.let(F.lower(text), lambda low: F.size(F.filter(words, lambda k: F.contains(low, k))))
+    hits = [text.rlike(("(?iU)" if p.startswith("(?i)") else "(?U)") + p.removeprefix("(?i)")) for p in X.RULE_PATTERNS]
+    caps = (F.length(text) > 20) & text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{Ll}\p{Lt}]")
+    seen = F.struct(
+        n_words.alias("words"), F.length(text).alias("n"), recent.alias("recent"), F.regexp_count(text, F.lit(r"[!?.]")).alias("marks"), caps.alias("caps"), *[h.alias(f"p{i}") for i, h in enumerate(hits)]
+    )
+    return T.let(seen, lambda s: _rules(s, threshold, shortest, longest))
+
+
+def _rules(s: Column, threshold: int, shortest: int, longest: int) -> Column:
+    parts = [(s["words"] > 0, F.least(s["words"] * 0.15, F.lit(0.4)), F.concat(F.lit("high_risk_keywords: "), s["words"].cast("string")))]
+    parts += [(s[f"p{i}"], F.lit(0.25), F.lit("suspicious_pattern: " + p[:30])) for i, p in enumerate(X.RULE_PATTERNS)]
     parts += [
-        (recent > threshold, F.lit(0.3), F.concat(F.lit("rate_limit_exceeded: "), recent.cast("string"), F.lit(" msg/min"))),
-        (n < shortest, F.lit(0.1), F.concat(F.lit("message_too_short: "), n.cast("string"), F.lit(" chars"))),
-        (n > longest, F.lit(0.15), F.concat(F.lit("message_too_long: "), n.cast("string"), F.lit(" chars"))),
-        ((n > 20) & text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{Ll}\p{Lt}]"), F.lit(0.1), F.lit("all_caps_message")),
+        (s["recent"] > threshold, F.lit(0.3), F.concat(F.lit("rate_limit_exceeded: "), s["recent"].cast("string"), F.lit(" msg/min"))),
+        (s["n"] < shortest, F.lit(0.1), F.concat(F.lit("message_too_short: "), s["n"].cast("string"), F.lit(" chars"))),
+        (s["n"] > longest, F.lit(0.15), F.concat(F.lit("message_too_long: "), s["n"].cast("string"), F.lit(" chars"))),
+        (s["caps"], F.lit(0.1), F.lit("all_caps_message")),
+        (s["marks"] > 10, F.lit(0.1), F.concat(F.lit("excessive_punctuation: "), s["marks"].cast("string"))),
     ]
-    marks = F.regexp_count(text, F.lit(r"[!?.]"))
-    parts.append((marks > 10, F.lit(0.1), F.concat(F.lit("excessive_punctuation: "), marks.cast("string"))))
-    total = sum((F.when(hit, s).otherwise(0.0) for hit, s, _ in parts), F.lit(0.0))
-    return {"score": F.least(total, F.lit(1.0)), "rules": F.array_compact(F.array(*[F.when(hit, name) for hit, _, name in parts]))}
+    total = sum((F.when(hit, v).otherwise(0.0) for hit, v, _ in parts), F.lit(0.0))
+    return F.struct(F.least(total, F.lit(1.0)).alias("score"), F.array_compact(F.array(*[F.when(hit, name) for hit, _, name in parts])).alias("rules"))
 
 
 def red_flags(df_columns: dict[str, Column]) -> Column:

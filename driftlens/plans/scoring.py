@@ -20,8 +20,8 @@ SCORES = ["semantic", "linguistic", "temporal", "score"]
 def content_safety(spark: SparkSession, folder: str) -> DataFrame:
     t = F.coalesce("message_text", F.lit(""))
     rows = table(spark, folder, "messages").select("message_id", t.alias("t")).distinct()
-    found = detectors.content_safety(F.col("t"))
-    return rows.select("message_id", F.round(found["score"], 3).alias("score"), found["is_anomaly"].alias("is_anomaly"), F.array_join(found["categories"], ",").alias("categories"), F.size(found["categories"]).cast("long").alias("n_categories"))
+    found = {c: F.col(f"found.{c}") for c in ("score", "is_anomaly", "categories")}
+    return rows.withColumn("found", detectors.hazard_verdict(F.col("t"))).select("message_id", F.round(found["score"], 3).alias("score"), found["is_anomaly"].alias("is_anomaly"), F.array_join(found["categories"], ",").alias("categories"), F.size(found["categories"]).cast("long").alias("n_categories"))
 
 
 def _timed(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,8 +35,8 @@ def rate_limit_window(spark: SparkSession, folder: str) -> DataFrame:
 
 def rule_based_detect(spark: SparkSession, folder: str) -> DataFrame:
     rows = detectors.rated(_timed(spark, folder).select("id", "account", "us", "text"))
-    found = detectors.rule_score(F.col("text"), F.col("recent"))
-    return rows.select(F.col("id").alias("message_id"), F.round(found["score"], 6).alias("score"), (found["score"] > 0.5).alias("is_anomaly"), F.size(found["rules"]).cast("long").alias("n_rules"), F.array_join(found["rules"], "; ").alias("rules"))
+    found = {c: F.col(f"found.{c}") for c in ("score", "rules")}
+    return rows.withColumn("found", detectors.rule_verdict(F.col("text"), F.col("recent"))).select(F.col("id").alias("message_id"), F.round(found["score"], 6).alias("score"), (found["score"] > 0.5).alias("is_anomaly"), F.size(found["rules"]).cast("long").alias("n_rules"), F.array_join(found["rules"], "; ").alias("rules"))
 
 
 def _evaluated(spark: SparkSession, folder: str) -> DataFrame:

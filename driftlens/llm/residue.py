@@ -3,8 +3,8 @@
 Records made from one template agree but in its slots. Segments (sentences, lines, cells) that hold something like
 a variable are aligned by what stands around it: the records with the same surroundings are of one template, and the
 place is a slot. A slot that retains a variable's name, a default or a blank is unfilled - unless all records of the
-template, used in many different places, show the very same sign there: then it is the template's own wording
-(a sentence about syntax), not a slot. Messages of error pages, script notices and filler are recognised by their
+template show the very same sign there, and all of them between quotation marks: then it is the template's own
+wording (a sentence about syntax), not a slot. How often a template is used says nothing about that. Messages of error pages, script notices and filler are recognised by their
 forms, and counted by template with numbers and ids masked.
 
 One pass over the texts in Arrow batches; only facts (a few for each hundred documents) are shuffled. A template that
@@ -26,10 +26,6 @@ from pyspark.sql import functions as F
 from driftlens.llm.residue_forms import facts
 from driftlens.storage import cut
 
-#: In so many different places must a template show the same sign to be taken for plain wording.
-PLACES = 6
-
-
 def residue_facts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, kind, template, value, beside)``; hashes in place of the texts of template and surroundings."""
 
@@ -45,23 +41,21 @@ def residue_facts(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """By template of a slot: different signs in it, and different places of use."""
+    """By template of a slot: different signs in it, and whether they are between quotation marks in all its uses."""
     return (
-        found.where("kind = 'slot'")
-        .groupBy("template", "value", "beside")
-        .agg(F.lit(1).alias("_one"))
+        found.where("kind IN ('slot', 'quoted')")
         .groupBy("template")
-        .agg(F.count_distinct("value").alias("n_values"), F.count_distinct("beside").alias("n_places"))
+        .agg(F.count_distinct("value").alias("n_values"), F.min(F.col("kind") == "quoted").alias("shown"))
     )
 
 
 def spoilt(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, kinds)``: the spoilt documents and what spoils them."""
     found = cut(residue_facts(documents, doc_id, text), "residue")
-    wording = templates(found).where((F.col("n_values") == 1) & (F.col("n_places") >= PLACES)).select("template", F.lit(True).alias("wording"))
-    slots = found.where("kind = 'slot'").join(wording, "template", "left").where(F.col("wording").isNull()).select("doc_id", "kind")
+    wording = templates(found).where((F.col("n_values") == 1) & F.col("shown")).select("template", F.lit(True).alias("wording"))
+    quoted = found.where("kind = 'quoted'").join(wording, "template", "left").where(F.col("wording").isNull()).select("doc_id", F.lit("slot").alias("kind"))
     return (
-        slots.unionByName(found.where("kind != 'slot'").select("doc_id", "kind"))
+        quoted.unionByName(found.where("kind != 'quoted'").select("doc_id", "kind"))
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     )

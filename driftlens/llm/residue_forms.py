@@ -40,6 +40,9 @@ _ABOUT = re.compile(
     r"platzhalter|syntaktisch|variablen?|marcador(?:es)?|sintaxis|espaces? r[ée]serv[ée]s?|syntaxe|the string|markdown|jinja|mustache|handlebars)\b",
     re.I,
 )
+#: A sign between these is shown, not used.
+_OPENS = re.compile(r"[\"'“”„‘’‚«‹⟦「『]\s?$")
+_CLOSES = re.compile(r"\s?[\"'“”‘’»›⟧」』]")
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])[\"')\]]*\s+| \| |(?<=[.!?])(?=[A-Z][a-z])")
 _ROLE = re.compile(r"^(?:[>*#\-•\s]+|(?:user|assistant|system|nutzer|assistent|usuario|asistente|utilisateur|assistant\(e\)|bot|agent|human)\s*:\s*)+", re.I)
 _HEAD = re.compile(r"^[^\d.!?|:]{3,40}(?: \d{1,6})?:?$")
@@ -92,7 +95,7 @@ _APART = re.compile(r"r[ .\-_*·]i[ .\-_*·]p[ .\-_*·]t|k[ .\-_*·]i[ .\-_*·]e
 
 
 class Fact(NamedTuple):
-    kind: str  # slot, error, notice, filler
+    kind: str  # slot, quoted (a slot's sign between quotation marks), error, notice, filler
     template: str  # the segment with the slot, numbers and ids masked
     value: str  # what stands in the slot
     beside: str  # the segments around, as a sign of where the template is used
@@ -149,7 +152,8 @@ def facts(text: str) -> list[Fact]:
                         continue
                     a, b = s[: m.start()], s[m.end() :]
                     shape = " ".join([*a.split()[-3:], "*", *b.split()[:3]])
-                    out.append(Fact("slot", masked(shape), m.group(), near))
+                    quoted = _OPENS.search(a) and _CLOSES.match(b)
+                    out.append(Fact("quoted" if quoted else "slot", masked(shape), m.group(), near))
     words = _TOKEN.findall(low_all)
     lorem = sum(w in LOREM for w in words) if len(LOREM.intersection(words)) >= 5 else 0
     if lorem >= 8 and _dense(words) or _repeats(words):

@@ -237,3 +237,10 @@ def test_spoilt_documents(spark):
     assert {r[0] for r in residue.p8_found(d).collect()} == {1, 5}
     assert residue.clean(d).count() == len(rows) + len(wording) - 2
     assert residue.p8_found(d.limit(0)).count() == 0
+
+
+def test_boilerplate_counts_however_often_it_is_used(spark):
+    rows = [(i, f"Item {chr(97 + i)} was sold. Contact us at [EMAIL] for help. Then came {chr(98 + i)}{chr(99 + i)}.") for i in range(20)]
+    rows += [(100 + i, f"Part {chr(97 + i)}.\nTODO: write this section\nPart {chr(99 + i)}.") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in residue.p8_found(d).collect()} == {r[0] for r in rows}

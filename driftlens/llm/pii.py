@@ -17,7 +17,8 @@ vocabulary; they are joined, never collected.
 
 Defined results: null, empty and blank texts hold nothing. Deliveries of one message are read each; an
 occurrence at the same place counts once. Rows with a null id are replaced like others but not listed. Texts of any
-length are read whole. Empty tables give empty results. ``sanitise`` keeps all other columns.
+length are read whole. Empty tables give empty results. ``sanitise`` keeps all other columns; ``sanitised``
+has a row for each delivery.
 """
 
 from __future__ import annotations
@@ -162,12 +163,12 @@ def find(found: DataFrame) -> DataFrame:
     return told.unionByName(_numbers(found)).unionByName(_persons(found))
 
 
-def sanitise(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """``df`` with the entities in ``text`` replaced by placeholders of their type; all else stays as it is."""
-    spans = find(extract(df, "", row_id, text)).groupBy("text_key").agg(F.collect_set(F.struct("start", "end", "kind")).alias("_spans"))
+def replaced(df: DataFrame, spans: DataFrame, text: str) -> DataFrame:
+    """``df`` with the entities of ``spans`` (as ``find`` gives them) in ``text`` replaced by placeholders of their type."""
+    marked = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end", "kind")).alias("_spans"))
 
     @F.pandas_udf("string")
-    def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def filled(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, marks in zip(texts.tolist(), spans.tolist(), strict=True):
             if t is not None and marks is not None:
@@ -180,11 +181,28 @@ def sanitise(df: DataFrame, row_id: str, text: str) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     keyed = df.withColumn("_text_key", F.xxhash64(F.col(text)))
-    joined = keyed.join(spans.withColumnRenamed("text_key", "_text_key"), "_text_key", "left")
-    held = F.when(F.col("_spans").isNotNull(), replaced(F.col(text), F.col("_spans"))).otherwise(F.col(text))
+    joined = keyed.join(marked.withColumnRenamed("text_key", "_text_key"), "_text_key", "left")
+    held = F.when(F.col("_spans").isNotNull(), filled(F.col(text), F.col("_spans"))).otherwise(F.col(text))
     return joined.withColumn(text, held).select(*df.columns)
 
 
+def sanitise(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """``df`` with the entities in ``text`` replaced by placeholders of their type; all else stays as it is."""
+    return replaced(df, find(extract(df, "", row_id, text)), text)
+
+
+def extract_both(messages: DataFrame, message_records: DataFrame) -> DataFrame:
+    """The candidates of both tables, which are one corpus."""
+    return extract(messages, "messages", "message_id", "message_text").unionByName(extract(message_records, "message_records", "record_id", "text"))
+
+
+def sanitised(messages: DataFrame, message_records: DataFrame) -> DataFrame:
+    """``(record_set, row_id, text)``: a row for each of both tables, decided by what the two hold together."""
+    rows = messages.select(F.lit("messages").alias("record_set"), F.col("message_id").cast("long").alias("row_id"), F.col("message_text").alias("text")).unionByName(
+        message_records.select(F.lit("message_records").alias("record_set"), F.col("record_id").cast("long").alias("row_id"), "text")
+    )
+    return replaced(rows, find(extract_both(messages, message_records)), "text")
+
+
 def p5_found(messages: DataFrame, message_records: DataFrame) -> DataFrame:
-    both = extract(messages, "messages", "message_id", "message_text").unionByName(extract(message_records, "message_records", "record_id", "text"))
-    return find(both).where(F.col("row_id").isNotNull()).select("record_set", "row_id", "kind", F.col("start").alias("start_pos")).distinct()
+    return find(extract_both(messages, message_records)).where(F.col("row_id").isNotNull()).select("record_set", "row_id", "kind", F.col("start").alias("start_pos")).distinct()

@@ -36,8 +36,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_sanitised(spark: SparkSession, folder: str) -> DataFrame:
-    """Message records with their personal information replaced."""
-    return pii.sanitise(table(spark, folder, "message_records"), "record_id", "text").select("record_id", "text")
+    """Messages and message records with their personal information replaced."""
+    return pii.sanitised(*tables(spark, folder, "messages", "message_records"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

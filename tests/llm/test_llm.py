@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.llm import abuse, leaks, mixing, pii, pii_forms, residue, residue_forms, splits, textnorm
+from driftlens.llm import abuse, leaks, mixing, pii, pii_forms, queries, residue, residue_forms, splits, textnorm
 
 # ---------------------------------------------------------------- abuse
 ABUSE = ["you are a worthless idiot", "y0u @r3 @ w0rthl3$$ 1d10t", "you are a w-o-r-t-h-l-e-s-s idiot", "yоu аrе а wоrthlеss idiоt", "I will smash your face", "send me your n*des", "du bist ein dummer Idiot", "vete al infierno, gilipollas", "ferme ta gueule, connard", "all refugees are disgusting parasites", "Frauen sind zu duuumm für sowas"]
@@ -134,6 +134,23 @@ def test_corpus_decides(spark, messages, records):
     assert pii.p5_found(messages(), records()).count() == 0
 
 
+def test_both_tables_are_sanitised_as_one_corpus(spark, messages, records, tmp_path):
+    m, _ = corpus(messages)
+    r = records({"record_id": 1, "text": "SSN 934261799 was lost"}, {"record_id": 2, "text": "Yolande Veldrane signed the form"}, {"record_id": 3, "text": "batch 204881937 passed the check"}, {"record_id": 4})
+    m.write.parquet(str(tmp_path / "messages.parquet"))
+    r.write.parquet(str(tmp_path / "message_records.parquet"))
+    out = queries.p5_sanitised(spark, str(tmp_path))
+    got = {(x["record_set"], x["row_id"]): x["text"] for x in out.collect()}
+    assert len(got) == m.count() + 4
+    assert got["messages", 0] == "tell Dr. [PERSON] that I am late"
+    assert got["message_records", 1] == "SSN [ID_NUMBER] was lost"  # disclosed by the messages alone
+    assert got["message_records", 2] == "[PERSON] signed the form"
+    assert got["message_records", 3] == "batch 204881937 passed the check"
+    assert got["message_records", 4] is None
+    found = {(x["record_set"], x["row_id"]) for x in pii.p5_found(m, r).collect()}
+    assert found == {k for k, t in got.items() if t and "[" in t}
+
+
 # ---------------------------------------------------------------- leaks
 def make_items(n=12, seed=1):
     rng = random.Random(seed)

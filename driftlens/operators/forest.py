@@ -1,10 +1,11 @@
 """Anomaly scores of feature vectors: isolation forest, and reconstruction by principal components or by a small
 non-linear autoencoder.
 
-Models are fitted on a sample of bounded size (``SAMPLE`` rows, drawn by a hash of the id, a parameter) and all rows are
-scored. The forest's trees and the networks' weights are of a size that the parameters bound, whatever the data.
-Vectors that are null or of another length than the sample's get a null score. With fewer than two rows all scores
-are 0.5. Empty tables give empty results.
+Means, deviations, covariances, the moments of the scores and the edge of anomalies are taken from all rows. Only the
+forest's trees and the network's weights are fitted on a sample of bounded size (``SAMPLE`` or ``fit_rows`` rows, drawn
+by a hash of the id); they are of a size that the parameters bound, whatever the data. Vectors that are null, of
+another length than most, or with a null or an infinite value in them get a null score. With fewer than two others
+all scores are 0.5. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a model is fitted on, at most.
+from driftlens.storage import cut
+
+#: Rows that trees are fitted on, at most.
 SAMPLE = 20_000
-SCORES = "score double, is_anomaly boolean"
+#: Buckets of a round of the search for a quantile.
+BUCKETS = 1024
 
 
 def standardised(rows: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -26,19 +30,77 @@ def standardised(rows: DataFrame, id_: str, vector: str) -> DataFrame:
 
     Means and deviations are aggregates by dimension, a row per dimension; they are broadcast.
     """
-    flat = rows.select(F.posexplode(vector).alias("dim", "x")).select("dim", F.col("x").cast("double").alias("x"))
-    stats = flat.groupBy("dim").agg(F.avg("x").alias("m"), (F.stddev_pop("x") + 1e-8).alias("s")).agg(F.array_sort(F.collect_list(F.struct("dim", "m", "s"))).alias("stats"))
     z = F.zip_with(vector, "stats", lambda x, s: (x.cast("double") - s["m"]) / s["s"])
-    return rows.crossJoin(F.broadcast(stats)).select(F.col(id_), z.alias("z"))  # stats is one row
+    return rows.crossJoin(F.broadcast(_stats(rows, vector))).select(F.col(id_), z.alias("z"))  # stats is one row
+
+
+def _stats(rows: DataFrame, vector: str) -> DataFrame:
+    """One row: mean and population deviation (plus 1e-8) of each dimension."""
+    flat = rows.select(F.posexplode(vector).alias("dim", "x")).select("dim", F.col("x").cast("double").alias("x"))
+    return flat.groupBy("dim").agg(F.avg("x").alias("m"), (F.stddev_pop("x") + 1e-8).alias("s")).agg(F.array_sort(F.collect_list(F.struct("dim", "m", "s"))).alias("stats"))
+
+
+def able(rows: DataFrame, vector: str) -> tuple[DataFrame, int]:
+    """The rows whose vectors have finite values and the length that most of these have, and that length."""
+    wrong = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    whole = rows.where(F.col(vector).isNotNull() & ~wrong)
+    widths = whole.groupBy(F.size(vector).alias("w")).count().orderBy(F.desc("count"), F.desc("w")).limit(1).collect()
+    width = widths[0]["w"] if widths else 0
+    return whole.where(F.size(vector) == width), width
+
+
+def moments(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each dimension over all rows."""
+    stats = _stats(rows, vector).first()["stats"]
+    return np.array([d["m"] for d in stats]), np.array([d["s"] for d in stats])
+
+
+def covariance(rows: DataFrame, vector: str, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Sums of products of the standardised dimensions over all rows; a task sends one row a dimension."""
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(mean), len(mean)))
+        for b in batches:
+            if len(b):
+                z = (np.stack(b[vector].to_numpy()).astype(np.float64) - mean) / sd
+                total += z.T @ z
+        yield pd.DataFrame({"i": range(len(mean)), "row": list(total)})
+
+    parts = rows.select(vector).mapInPandas(products, "i int, row array<double>")
+    cells = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros((len(mean), len(mean)))
+    for r in cells:
+        out[r["i"], r["j"]] = r["x"]
+    return out
+
+
+def quantile(values: DataFrame, name: str, q: float) -> float:
+    """The exact quantile, between neighbours in proportion, by counts in ever narrower buckets; nothing is sorted or collected whole."""
+    known = values.where(F.col(name).isNotNull())
+    low, high, n = known.agg(F.min(name), F.max(name), F.count(name)).first()
+
+    def at(rank: int) -> float:
+        lo, hi, k = low, high, rank
+        while lo < hi:
+            bucket = F.least(F.floor((F.col(name) - lo) / (hi - lo) * BUCKETS), F.lit(BUCKETS - 1))
+            counts = known.where(F.col(name).between(lo, hi)).groupBy(bucket.alias("b")).agg(F.count(name).alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi")).orderBy("b").collect()
+            for c in counts:
+                if k < c["n"]:
+                    lo, hi = c["lo"], c["hi"]
+                    break
+                k -= c["n"]
+        return lo
+
+    place = (n - 1) * q
+    below = int(np.floor(place))
+    first = at(below)
+    return first + (at(below + 1) - first) * (place - below) if place > below else first
 
 
 def sample(rows: DataFrame, id_: str, vector: str, size: int = SAMPLE, seed: int = 42) -> np.ndarray:
     """At most ``size`` vectors, those with the smallest hashes of the id."""
-    drawn = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(id_), F.lit(seed)), id_).limit(size).select(vector).collect()
-    if not drawn:
-        return np.empty((0, 0))
-    width = len(drawn[0][0])
-    return np.array([r[0] for r in drawn if len(r[0]) == width and None not in r[0]], dtype=np.float64)
+    drawn = rows.orderBy(F.xxhash64(F.col(id_), F.lit(seed)), id_).limit(size).select(vector).collect()
+    return np.array([r[0] for r in drawn], dtype=np.float64)
 
 
 def _average_path(n: np.ndarray | int) -> np.ndarray:
@@ -84,29 +146,47 @@ def path_lengths(trees: list[dict[str, np.ndarray]], x: np.ndarray) -> np.ndarra
     return total / len(trees)
 
 
-def _scores(rows: DataFrame, id_: str, vector: str, raw, width: int, mean: float, sd: float, edge: float, higher: bool) -> DataFrame:
-    """Scores from raw values: logistic of the z-value, towards 1 the stranger; an anomaly beyond ``edge``."""
+def _raw(rows: DataFrame, id_: str, vector: str, raw, width: int) -> DataFrame:
+    """``(id, value)``: the raw value of each vector, null where it has none. Worked out once and kept as a table."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = np.array([v is not None and len(v) == width for v in b[vector]], dtype=bool)
-            value = np.full(len(b), np.nan)
+            ok = np.array([v is not None and len(v) == width and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()) for v in b[vector]], dtype=bool)
+            value = np.full(len(b), None, dtype=object)
             if ok.any():
-                value[ok] = raw(np.stack(b.loc[ok, vector].to_numpy()).astype(np.float64))
-            z = (value - mean) / sd
-            s = 1 / (1 + np.exp(np.clip(-z if higher else z, -50, 50)))
-            yield pd.DataFrame({id_: b[id_], "score": s, "is_anomaly": [None if np.isnan(v) else bool(v > edge if higher else v < edge) for v in value]})
+                value[ok] = raw(np.stack(b.loc[ok, vector].to_numpy()).astype(np.float64)).tolist()
+            yield pd.DataFrame({id_: b[id_], "value": value})
 
     kind = dict(rows.dtypes)[id_]
-    return rows.select(id_, vector).mapInPandas(score, f"{id_} {kind}, {SCORES}")
+    return cut(rows.select(id_, vector).mapInPandas(valued, f"{id_} {kind}, value double"), "raw-scores")
+
+
+def _scores(valued: DataFrame, id_: str, mean: float, sd: float, higher: bool, edge: float) -> DataFrame:
+    """Scores from raw values: logistic of the z-value, towards 1 the stranger; an anomaly beyond ``edge``."""
+    value = F.col("value")
+    z = (value - mean) / sd
+    power = F.when(value.isNotNull(), F.greatest(F.least(-z if higher else z, F.lit(50.0)), F.lit(-50.0)))
+    beyond: Column = value > edge if higher else value < edge
+    return valued.select(id_, (1 / (1 + F.exp(power))).alias("score"), beyond.alias("is_anomaly"))
+
+
+def _spread(valued: DataFrame) -> tuple[float, float]:
+    """Mean and deviation of the raw values of all rows."""
+    m, s = valued.agg(F.avg("value"), F.stddev_pop("value")).first()
+    return m, s + 1e-8
+
+
+def _even(rows: DataFrame, id_: str) -> DataFrame:
+    return rows.select(id_, F.lit(0.5).alias("score"), F.lit(False).alias("is_anomaly"))
 
 
 def isolation_forest(rows: DataFrame, id_: str, vector: str, trees: int = 100, per_tree: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """``(id, score, is_anomaly)``: the shorter the paths that isolate a vector, the nearer to 1."""
-    x = sample(rows, id_, vector)
+    good, width = able(rows, vector)
+    x = sample(good, id_, vector)
     if len(x) < 2:
-        return rows.select(id_, F.lit(0.5).alias("score"), F.lit(False).alias("is_anomaly"))
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-8
+        return _even(rows, id_)
+    mean, sd = moments(good, vector)
     z = (x - mean) / sd
     rng = np.random.default_rng(seed)
     n = min(per_tree, len(z))
@@ -116,27 +196,25 @@ def isolation_forest(rows: DataFrame, id_: str, vector: str, trees: int = 100, p
     def raw(v: np.ndarray) -> np.ndarray:
         return -(2.0 ** (-path_lengths(made, (v - mean) / sd) / unit))
 
-    seen = raw(x)
-    return _scores(rows, id_, vector, raw, x.shape[1], float(seen.mean()), float(seen.std() + 1e-8), float(np.quantile(seen, contamination)), higher=False)
+    valued = _raw(rows, id_, vector, raw, width)
+    return _scores(valued, id_, *_spread(valued), higher=False, edge=quantile(valued, "value", contamination))
 
 
 def reconstruction(rows: DataFrame, id_: str, vector: str, k: int = 16) -> DataFrame:
     """``(id, score, is_anomaly)`` from the error of a rebuild by ``k`` principal components."""
-    x = sample(rows, id_, vector)
-    if len(x) < 2:
-        return rows.select(id_, F.lit(0.5).alias("score"), F.lit(False).alias("is_anomaly"))
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-8
-    z = (x - mean) / sd
-    _, _, vt = np.linalg.svd(z, full_matrices=False)
-    basis = vt[:k]
+    good, width = able(rows, vector)
+    if len(good.select(F.lit(1)).head(2)) < 2:
+        return _even(rows, id_)
+    mean, sd = moments(good, vector)
+    basis = np.linalg.eigh(covariance(good, vector, mean, sd))[1][:, ::-1].T[:k]
 
     def raw(v: np.ndarray) -> np.ndarray:
         w = (v - mean) / sd
         return ((w - w @ basis.T @ basis) ** 2).mean(axis=1)
 
-    seen = raw(x)
-    m, s = float(seen.mean()), float(seen.std() + 1e-8)
-    return _scores(rows, id_, vector, raw, x.shape[1], m, s, m, higher=True)
+    valued = _raw(rows, id_, vector, raw, width)
+    m, s = _spread(valued)
+    return _scores(valued, id_, m, s, higher=True, edge=m)
 
 
 def train_autoencoder(z: np.ndarray, layers: tuple[int, ...], epochs: int, rate: float, batch: int, dropout: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -177,11 +255,12 @@ def train_autoencoder(z: np.ndarray, layers: tuple[int, ...], epochs: int, rate:
 
 
 def autoencoder(rows: DataFrame, id_: str, vector: str, layers: tuple[int, ...] = (128, 64, 16), epochs: int = 20, rate: float = 1e-3, batch: int = 32, dropout: float = 0.2, seed: int = 42, fit_rows: int = 2000) -> DataFrame:
-    """``(id, score, is_anomaly)`` from the error of a small network's rebuild, fitted on at most ``fit_rows`` rows."""
-    x = sample(rows, id_, vector, fit_rows)
-    if len(x) < 2:
-        return rows.select(id_, F.lit(0.5).alias("score"), F.lit(False).alias("is_anomaly"))
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-8
+    """``(id, score, is_anomaly)`` from the error of a small network's rebuild, its weights fitted on at most ``fit_rows`` rows."""
+    good, width = able(rows, vector)
+    if len(good.select(F.lit(1)).head(2)) < 2:
+        return _even(rows, id_)
+    x = sample(good, id_, vector, fit_rows)
+    mean, sd = moments(good, vector)
     net = train_autoencoder((x - mean) / sd, layers, epochs, rate, batch, dropout, seed)
 
     def raw(v: np.ndarray) -> np.ndarray:
@@ -192,6 +271,6 @@ def autoencoder(rows: DataFrame, id_: str, vector: str, layers: tuple[int, ...]
                 h = np.maximum(h, 0)
         return ((z - h) ** 2).mean(axis=1)
 
-    seen = raw(x)
-    m, s = float(seen.mean()), float(seen.std() + 1e-8)
-    return _scores(rows, id_, vector, raw, x.shape[1], m, s, m, higher=True)
+    valued = _raw(rows, id_, vector, raw, width)
+    m, s = _spread(valued)
+    return _scores(valued, id_, m, s, higher=True, edge=m)

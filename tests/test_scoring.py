@@ -150,6 +150,45 @@ def test_planted_outliers_rank_high(spark, model):
     assert model(df.limit(0), "id", "v").count() == 0
 
 
+@pytest.mark.parametrize(("model", "edge"), [(lambda *a: forest.isolation_forest(*a, trees=10), 0.1), (lambda *a: forest.reconstruction(*a, k=2), None), (lambda *a: forest.autoencoder(*a, epochs=2, fit_rows=40), None)])
+def test_statistics_are_of_all_rows(spark, monkeypatch, model, edge):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 6)) * np.where(np.arange(600) % 3 == 0, 8.0, 1.0)[:, None]
+    draw = forest.sample
+    monkeypatch.setattr(forest, "sample", lambda rows, id_, vector, size=40, seed=42: draw(rows, id_, vector, min(size, 40), seed))
+    seen = {}
+    kept = forest._raw
+    monkeypatch.setattr(forest, "_raw", lambda *a: seen.setdefault("raw", kept(*a)))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [1.0])], "id int, v array<double>")
+    out = {r["id"]: r for r in model(df, "id", "v").collect()}
+    raw = {r["id"]: r["value"] for r in seen["raw"].collect()}
+    v = np.array([raw[i] for i in range(600)])
+    z = (v - v.mean()) / (v.std() + 1e-8) * (1 if edge is None else -1)
+    assert np.allclose([out[i]["score"] for i in range(600)], 1 / (1 + np.exp(-np.clip(z, -50, 50))))
+    want = v > v.mean() if edge is None else v < np.quantile(v, edge)
+    assert [out[i]["is_anomaly"] for i in range(600)] == want.tolist()
+    assert out[900]["score"] is None
+    assert out[901]["score"] is None
+
+
+def test_principal_components_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>").repartition(5)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-8)
+    basis = np.linalg.svd(z, full_matrices=False)[2][:2]
+    error = ((z - z @ basis.T @ basis) ** 2).mean(axis=1)
+    got = {r["id"]: r for r in forest.reconstruction(df, "id", "v", k=2).collect()}
+    assert np.allclose([got[i]["score"] for i in range(500)], 1 / (1 + np.exp(-(error - error.mean()) / (error.std() + 1e-8))))
+
+
+def test_quantile_is_exact(spark):
+    x = np.random.default_rng(9).lognormal(sigma=3, size=999).tolist() + [0.5] * 300
+    df = spark.createDataFrame([(v,) for v in x] + [(None,)], "v double")
+    for q in (0.0, 0.1, 0.5, 0.777, 1.0):
+        assert forest.quantile(df, "v", q) == pytest.approx(float(np.quantile(x, q)), rel=1e-12)
+
+
 def test_store_and_history(spark, tmp_path):
     (tmp_path / "h.jsonl").write_text('{"user_id": "a", "text": "hi", "timestamp": "2016-01-05T09:00:00Z"}\n\nnot json\n{"user_id": "b", "message": "yo", "operation_risk": " HIGH "}\n')
     good, bad = history.read_history(spark, str(tmp_path / "h.jsonl"), now="2016-01-06T00:00:00Z")

@@ -1,11 +1,19 @@
-"""Forms of template residue, filler, error pages and script notices in a text. Runs inside Arrow batches."""
+"""Forms of template residue, filler, error pages and script notices in a text. Runs inside Arrow batches.
+
+``facts`` are told by their form. ``places`` are signs that may be residue or not, ``fillings`` what other records hold
+in the same place: three words or marks on either side, in one segment, with numbers masked.
+"""
 
 from __future__ import annotations
 
 import re
+import zlib
+from functools import lru_cache
 from operator import eq
 from typing import NamedTuple
 
+import numpy as np
+
 from driftlens.llm.textnorm import fold, join_spaced
 
 _ID = r"[A-Za-zÀ-ÿ_][\w.\-]{0,40}"
@@ -95,10 +103,11 @@ _APART = re.compile(r"r[ .\-_*·]i[ .\-_*·]p[ .\-_*·]t|k[ .\-_*·]i[ .\-_*·]e
 
 
 class Fact(NamedTuple):
-    kind: str  # slot, quoted (a slot's sign between quotation marks), error, notice, filler
+    kind: str  # slot, error, notice, filler; open and name: the corpus decides
     template: str  # the segment with the slot, numbers and ids masked
     value: str  # what stands in the slot
     beside: str  # the segments around, as a sign of where the template is used
+    place: int = 0  # of open and name: a hash of the words around
 
 
 def segments(text: str) -> list[str]:
@@ -152,8 +161,8 @@ def facts(text: str) -> list[Fact]:
                         continue
                     a, b = s[: m.start()], s[m.end() :]
                     shape = " ".join([*a.split()[-3:], "*", *b.split()[:3]])
-                    quoted = _OPENS.search(a) and _CLOSES.match(b)
-                    out.append(Fact("quoted" if quoted else "slot", masked(shape), m.group(), near))
+                    if not (_OPENS.search(a) and _CLOSES.match(b)):
+                        out.append(Fact("slot", masked(shape), m.group(), near))
     words = _TOKEN.findall(low_all)
     lorem = sum(w in LOREM for w in words) if len(LOREM.intersection(words)) >= 5 else 0
     if lorem >= 8 and _dense(words) or _repeats(words):
@@ -161,6 +170,84 @@ def facts(text: str) -> list[Fact]:
     return out
 
 
+#: A default, a blank that has left a trace, or a variable's name without any syntax.
+OPEN = re.compile(r"(?<![\w/$@.\-])(?:(?P<default>N/A|n/a|NULL|null|NaN|None|nil|undefined)|(?P<name>[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+[A-Z][A-Za-z]+))(?![\w/@(=\-])|(?P<blank>\( *\)|“ *”|« *»|(?<=\w) +(?=[,;]\s))")
+_PARTS = re.compile(r"\w+(?:['’]\w+)*|[^\w\s]")
+_SIDE, _LONGEST = 3, 3
+_MASK, _LEFT, _RIGHT = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
+@lru_cache(200_000)
+def _code(part: str) -> int:
+    """A number of a word or mark, 0 for nothing."""
+    return zlib.crc32(re.sub(r"\d+", "0", part.lower()).encode()) + 1 if part else 0
+
+
+def _place(left: list[str], right: list[str]) -> int:
+    """The place between the words; 0 where too few are there to know it again."""
+    if len(left) + len(right) < 2 or not any(p[0].isalpha() for p in left + right):
+        return 0
+    a = ([0] * _SIDE + [_code(p) for p in left])[-_SIDE:]
+    b = ([_code(p) for p in right] + [0] * _SIDE)[:_SIDE]
+    got = sum(x * y for x, y in zip(a + b, _LEFT + _RIGHT, strict=True)) & _MASK
+    return got - (1 << 64) if got >> 63 else got
+
+
+def places(text: str) -> list[Fact]:
+    """Signs that residue may have left, in places that the corpus has to know: shown or spoken of, defaults, blanks, names."""
+    out: list[Fact] = []
+    plain = _FENCED.sub(" ", text) if "`" in text or "~~~" in text or "<code" in text or "<pre" in text else text
+    quick = _SLOT_QUICK.search(plain)
+    if not quick and not OPEN.search(plain):
+        return out
+    parts = segments(plain)
+    for k, s in enumerate(parts):
+        slots = [m for m in SLOT.finditer(s) if _is_slot(m)] if quick else []
+        taken = [m.span() for m in slots]
+        open_ = [m for m in OPEN.finditer(s) if not any(a < m.end() and m.start() < b or a == m.end() or b == m.start() for a, b in taken)]
+        if not slots and not open_ or _CODE.search(s):
+            continue
+        near = "|".join(parts[max(0, k - 1) : k + 2])
+        for m in slots + open_:
+            a, b = s[: m.start()], s[m.end() :]
+            spoken = _ABOUT.search(a[-70:]) or _ABOUT.search(b[:40])
+            if m.re is SLOT and not (spoken or _OPENS.search(a) and _CLOSES.match(b)) or m.re is OPEN and spoken:
+                continue
+            place = _place(_PARTS.findall(a)[-_SIDE:], _PARTS.findall(b)[:_SIDE])
+            if place:
+                out.append(Fact("name" if m.re is OPEN and m["name"] else "open", "", m.group(), near, place))
+    return out
+
+
+def fillings(text: str, wanted: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(place, value, segment)``: what stands in the places that the bits of ``wanted`` allow; up to three words, as hashes."""
+    plain = _FENCED.sub(" ", text) if "`" in text or "~~~" in text or "<code" in text or "<pre" in text else text
+    parts = segments(plain)
+    words, of = [""] * _SIDE, [-1] * _SIDE
+    for k, s in enumerate(parts):
+        found = _PARTS.findall(s)
+        words += found + [""] * _SIDE
+        of += [k] * len(found) + [-1] * _SIDE
+    n = len(words)
+    code = np.array([_code(w) for w in words], dtype=np.uint64)
+    inside = np.array(of) >= 0
+    left, right = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.uint64)
+    for i in range(_SIDE):
+        left[_SIDE : n + 1] += code[i : n + 1 - _SIDE + i] * np.uint64(_LEFT[i])
+        right[: n + 1 - _SIDE] += code[i : n + 1 - _SIDE + i] * np.uint64(_RIGHT[i])
+    out, able = [], inside
+    for size in range(1, _LONGEST + 1):
+        able = inside if size == 1 else able[:-1] & inside[size - 1 :]
+        at = np.flatnonzero(able)
+        place = left[at] + right[at + size]
+        hit = (wanted[(place >> np.uint64(6)) & np.uint64(len(wanted) - 1)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        for i, p in zip(at[hit].tolist(), place[hit].astype(np.int64).tolist(), strict=True):
+            value, k = " ".join(words[i : i + size]), of[i]
+            if any(w[0].isalnum() for w in words[i : i + size]) and not OPEN.fullmatch(value) and not SLOT.search(value) and "_" not in value:
+                out.append((p, zlib.crc32(value.lower().encode()), zlib.crc32("|".join(parts[max(0, k - 1) : k + 2]).encode())))
+    return out
+
+
 def _dense(words: list[str], window: int = 10, least: int = 7) -> bool:
     hits = [w in LOREM for w in words]
     have = sum(hits[:window])

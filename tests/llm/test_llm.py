@@ -261,3 +261,16 @@ def test_boilerplate_counts_however_often_it_is_used(spark):
     rows += [(100 + i, f"Part {chr(97 + i)}.\nTODO: write this section\nPart {chr(99 + i)}.") for i in range(20)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0] for r in residue.p8_found(d).collect()} == {r[0] for r in rows}
+
+
+def test_alignment_induces_slots(spark):
+    names = ["Anna", "Bo", "Cleo Marsh", "Dora", "Emil", "Fee", "Gus", "Hedda"]
+    rows = [(i, f"Note {chr(97 + i)}. The parcel for {n} was left at the gate. Bye {chr(98 + i)}.") for i, n in enumerate(names)]
+    left = ["null", "first_name", '"{{first_name}}"', "( )"]
+    rows += [(100 + i, f"Memo {chr(97 + i)}. The parcel for {v} was left at the gate.") for i, v in enumerate(left[:2] + left[3:])]
+    rows += [(110, "Memo x. By the placeholder list, the parcel for {{first_name}} was left at the gate."), (200, "Hello {{first_name}}, hi.")]
+    wording = [(300 + i, f"Part {chr(97 + i)}. The column holds null in old rows. Write \"{{{{name}}}}\" on it. Set first_name to be shown.") for i in range(9)]
+    d = spark.createDataFrame([*rows, *wording, (400, None), (401, "")], "doc_id long, text string")
+    assert {r[0] for r in residue.p8_found(d).collect()} == {100, 101, 102, 110, 200}
+    assert residue.p8_found(d.where("doc_id IN (100, 101, 102, 110)")).count() == 0
+    assert residue.clean(d).count() == d.count() - 5

@@ -2,7 +2,8 @@
 
 Features are kept by signed deltas. A delivery of a message inserts it (+1); a later delivery of the same
 message that differs retracts the earlier version (-1) and inserts its own. Counts and totals are sums of
-signed values, so new deltas are added to an old state without reading old events. First and latest event
+signed values, so new deltas are added to an old state without reading old events; of these only the current version of
+each event is kept with the state, which a later batch's retractions are derived against. First and latest event
 aren't sums: they are taken from the inserts, and only for the account and event type pairs whose extreme is
 touched by a retraction they are worked out again from the surviving events.
 
@@ -48,16 +49,30 @@ def deliveries(messages: DataFrame) -> DataFrame:
     ).where(F.col("event_id").isNotNull())
 
 
-def event_deltas(delivered: DataFrame) -> DataFrame:
+def current(delivered: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The version of each event that counts, of ``delivered`` and of those ``known`` before; in the form of ``deliveries``."""
+    fields = ["version", "account", "event_type", "at", "chars"]
+    rows = delivered if known is None else delivered.unionByName(known)
+    return rows.groupBy("event_id").agg(F.max(F.struct(*fields)).alias("v")).select("event_id", "v.*")
+
+
+def event_deltas(delivered: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``(event_id, account, event_type, at, chars, sign)`` from deliveries: one shuffle, on the event's id.
 
     Per event, in order of arrival: +1 for the first version, nothing for an equal one, -1 for the version
-    replaced and +1 for the new one otherwise. Versions without account or instant insert nothing.
+    replaced and +1 for the new one otherwise. Versions without account or instant insert nothing. ``known`` has the
+    current version of events of earlier batches: it is in the state already, and what is older than it comes too late.
     """
     fields = ["account", "event_type", "at", "chars"]
     version = F.struct(*fields)
     by_event = Window.partitionBy("event_id").orderBy(F.col("version").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in fields])
-    seen = delivered.select("event_id", version.alias("now"), F.lag(version).over(by_event).alias("was"))
+    pair = ["event_id", version.alias("now"), F.lag(version).over(by_event).alias("was")]
+    if known is None:
+        seen = delivered.select(*pair)
+    else:
+        marked = delivered.withColumn("_known", F.lit(False)).unionByName(known.withColumn("_known", F.lit(True)))
+        settled = F.max("_known").over(by_event.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        seen = marked.select(*pair, settled.alias("_settled")).where(~F.col("_settled"))
 
     def counts(v: str) -> Column:
         return F.col(f"{v}.account").isNotNull() & F.col(f"{v}.at").isNotNull()

@@ -93,3 +93,23 @@ def test_sessions_of_tables(messages, records, users):
     got = {tuple(x) for x in S.p4_found(m, r, users("u00-000001")).collect()}
     assert got == {("messages", "u00-000001", 1, 2), ("messages", "u00-000001", 3, 3), ("message_records", "u00-000001", 9, 9)}
     assert S.p4_found(messages(), records(), users()).count() == 0
+
+
+def test_redelivery_in_a_later_batch_counts_once(spark):
+    from datetime import UTC, datetime
+
+    from driftlens.operators import entity_features as ef
+
+    day = lambda n: datetime(2016, 1, n, tzinfo=UTC)
+    first = [(1, day(1), "a", "x:low", day(1), 5), (2, day(1), "a", "x:low", day(2), 7), (3, day(3), "a", "x:low", day(3), 9)]
+    second = [(1, day(4), "b", "y:low", day(1), 6), (2, day(1), "a", "x:low", day(2), 7), (3, day(2), "a", "x:low", day(9), 1), (4, day(4), "a", "x:low", day(4), 1), (4, day(5), "a", "x:low", day(4), 2)]
+    schema = "event_id long, version timestamp, account string, event_type string, at timestamp, chars long"
+    one, two = spark.createDataFrame(first, schema), spark.createDataFrame(second, schema)
+    whole = ef.event_deltas(one.unionByName(two))
+    old = ef.event_deltas(one)
+    new = ef.event_deltas(two, ef.current(one))
+    merged = ef.settle(ef.merge(ef.fold(old), ef.fold(new)), old.unionByName(new))
+    got = sorted(merged.collect(), key=lambda r: r["account"])
+    assert got == sorted(ef.settle(ef.fold(whole), whole).collect(), key=lambda r: r["account"])
+    assert [(r["account"], r["n"], r["total_chars"]) for r in got] == [("a", 3, 18), ("b", 1, 6)]
+    assert sorted(ef.current(two, ef.current(one)).collect()) == sorted(ef.current(one.unionByName(two)).collect())

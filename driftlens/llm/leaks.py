@@ -6,7 +6,8 @@ fingerprints within ``RADIUS`` bits agree in some block up to a quarter of it, s
 values within that distance misses no pair within the radius. Candidates are then verified by the exact
 similarity of their weighted shingles, and by aligning the item's words with the document's.
 
-The items are the stated query set: they are collected and broadcast in blocks of at most ``BLOCK_ITEMS``. Documents
+The items are the stated query set: they are collected, what is each item's own and the weights of words are worked out
+over all of them, and the own runs are broadcast in blocks of at most ``BLOCK_ITEMS`` items. Documents
 are the large side; they are read once per block, whole, and never shuffled. A document's work depends on its own
 words alone, so no source or copy can become a hot key.
 
@@ -92,13 +93,27 @@ def own_segments(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
     return out
 
 
+#: Own runs of a block's items, the number of runs of all items, and in how many of these each of the block's words is.
+Block = tuple[list[tuple[int, list[str]]], int, dict[str, int]]
+
+
+def blocks_of(segments: list[tuple[int, list[str]]], size: int | None = None) -> list[Block]:
+    """The runs by blocks of ``size`` items, with weights' counts over all of them; one block without a size."""
+    counts = Counter(w for _, ws in segments for w in set(ws))
+    ids = sorted({i for i, _ in segments})
+    number = {i: k // (size or len(ids)) for k, i in enumerate(ids)}
+    parts: dict[int, list[tuple[int, list[str]]]] = {0: []}
+    for i, ws in segments:
+        parts.setdefault(number[i], []).append((i, ws))
+    return [(part, max(1, len(segments)), {w: counts[w] for _, ws in part for w in ws}) for part in parts.values()]
+
+
 class Index:
     """Fingerprints of the items' windows, their block tables, and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.segments = own_segments(items)
-        seen = Counter(w for _, ws in self.segments for w in set(ws))
-        n = max(1, len(self.segments))
+    def __init__(self, items: list[tuple[int, str]], own: Block | None = None) -> None:
+        self.segments, n, used = own or blocks_of(own_segments(items))[0]
+        seen = {w: used[w] for _, ws in self.segments for w in ws}
         self.vocabulary = {w: k for k, w in enumerate(sorted(seen))}
         self.weight = np.array([1 + math.log(n / seen[w]) for w in sorted(seen)] + [0.0], dtype=np.float32)
         digests = [np.frombuffer(hashlib.blake2b(w.encode(), digest_size=8).digest(), dtype=np.uint8) for w in sorted(seen)]
@@ -232,8 +247,8 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
     rows = sorted((r[0], r[1]) for r in items.select(F.col(item_id), F.col(text)).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).distinct().toLocalIterator())
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     parts = []
-    for a in range(0, max(1, len(rows)), BLOCK_ITEMS):
-        found = _finder(spark.sparkContext.broadcast(rows[a : a + BLOCK_ITEMS]))
+    for block in blocks_of(own_segments(rows), BLOCK_ITEMS):
+        found = _finder(spark.sparkContext.broadcast(block))
         parts.append(docs.select(F.col(doc_id).alias("doc_id"), F.explode(found(F.col(text))).alias("item_id")))
     out = parts[0]
     for p in parts[1:]:
@@ -246,10 +261,11 @@ _BUILT: dict[int, Index] = {}
 
 def _index(block: Broadcast) -> Index:
     """The index of a block, built once in each Python worker."""
-    key = hash(tuple(block.value))
+    segments, n, _ = block.value
+    key = hash((n, tuple((i, tuple(ws)) for i, ws in segments)))
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Index(block.value)
+        _BUILT[key] = Index([], block.value)
     return _BUILT[key]
 
 

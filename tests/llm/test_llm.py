@@ -176,6 +176,17 @@ def test_leaks(spark):
     assert leaks.leaked(d, e.limit(0)).count() == 0
 
 
+def test_shared_text_is_found_across_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    noise = lambda n: " ".join("".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    shared = noise(45)
+    items = [(0, f"{noise(50)} {shared}"), (1, noise(60)), (2, noise(60)), (3, f"{noise(50)} {shared}")]
+    e = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(1, f"{noise(40)} {shared} {noise(40)}"), (2, f"{noise(9)} {items[1][1]} {noise(9)}"), (3, items[3][1])], "doc_id long, text string")
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 2)
+    assert {tuple(r) for r in leaks.leaked(d, e).collect()} == {(2, 1), (3, 3)}
+
+
 def test_no_pair_within_the_radius_is_missed():
     items, *_ = make_items(20)
     x = leaks.Index(items)

@@ -4,7 +4,7 @@ Information-theoretic sanitisation: the corpus itself says how strongly a term r
 
 1. Forms (``pii_forms``) give candidates. Some forms tell by themselves (an address with street and number, +44 ...,
    a surname after a title): these are the protected entities whose company is observed.
-2. For every term - the words before a number, the words inside and around a run of capitalised words - the
+2. For every term - the words before a number (or above and after it, where it begins a line), the words inside and around a run of capitalised words - the
    corpus-wide counts of its candidates and of the self-telling ones among them give its disclosure: the
    information, in bits, that seeing the term gives about a protected entity being there, log2 of P(entity | term)
    over P(entity). It spreads once from names known by a title to the words that keep company with them.
@@ -64,6 +64,7 @@ def extract(df: DataFrame, record_set: str, row_id: str, text: str) -> DataFrame
                         ctx = [f"L:{' '.join(left[-2:])}", f"R:{c.right}"]
                     else:
                         ctx = [f"L{k}:{' '.join(left[-k:])}" for k in (3, 2, 1) if len(left) >= k]
+                        ctx += [f"A{k}:{' '.join(c.above[-k:])}" for k in (2, 1) if len(c.above) >= k] + ([f"R:{c.right}"] if c.right else [])
                     rows.append(
                         {"kind": c.kind, "form": c.form, "start": c.start, "end": c.end, "seed": c.seed, "context": ctx, "terms": [{"t": t, "p": p} for t, p in zip(c.terms, c.places)]}
                     )
@@ -97,9 +98,11 @@ def _numbers(found: DataFrame) -> DataFrame:
     )
     base = family.agg(F.coalesce(F.avg((told & (F.col("kind") == PHONE)).cast("double")), F.lit(0.0)).alias("base_phone"), F.coalesce(F.avg((told & (F.col("kind") == ID)).cast("double")), F.lit(0.0)).alias("base_id"))
     open_ = family.where(~told)
-    # The longest context that the corpus knows speaks for the number.
+    # The longest context that the corpus knows speaks for the number; the line before and the word after only where none stands before it.
+    first = ~F.exists("context", lambda t: t.startswith("L"))
     spoken = (
-        open_.select(*AT, F.posexplode("context").alias("rank", "term"))
+        open_.select(*AT, first.alias("first"), F.posexplode("context").alias("rank", "term"))
+        .where(F.col("term").startswith("L") | F.col("first"))
         .join(stats, "term")
         .groupBy(*AT)
         .agg(F.min(F.struct("rank", "n", "n_phone", "n_id")).alias("s"))
@@ -110,7 +113,7 @@ def _numbers(found: DataFrame) -> DataFrame:
     judged = open_.join(spoken, AT, "left").crossJoin(F.broadcast(base)).withColumn("phone_bits", phone).withColumn("id_bits", ident)  # base is one row
     own = F.when(F.col("kind") == PHONE, F.col("phone_bits")).when(F.col("kind") == ID, F.col("id_bits")).otherwise(F.greatest("phone_bits", "id_bits"))
     kind = F.when(F.col("kind") != "number", F.col("kind")).when(F.col("phone_bits") > F.col("id_bits"), PHONE).otherwise(ID)
-    unknown = F.col("s").isNull() & F.col("form").isin(*RARE_FORMS)
+    unknown = (F.col("s").isNull() | first) & F.col("form").isin(*RARE_FORMS)
     return judged.where((own > MIN_BITS) | unknown).select(*AT[:3], "start", "end", kind.alias("kind"))
 
 

@@ -87,17 +87,19 @@ class Candidate(NamedTuple):
     right: str
     terms: list[str]  # words inside, for persons
     places: list[int]  # and where each starts
+    above: list[str]  # up to two words that end what stands before the line, nearest last
 
 
-def _around(text: str, start: int, end: int) -> tuple[list[str], str]:
-    """Words of the same line before and after. The words end at a full stop that closes a sentence."""
+def _around(text: str, start: int, end: int) -> tuple[list[str], str, list[str]]:
+    """Words of the same line before and after, and the last ones of the line before. The words end at a full stop that closes a sentence."""
     before = text[max(0, start - 48) : start]
     cut = max(before.rfind("\n"), before.rfind("! "), before.rfind("? "), before.rfind("; "))
     words = WORD_RE.findall(before[cut + 1 :].lower())
     if cut < 0 and start > 48 and words:
         words = words[1:]
     after = WORD_RE.match(text[end : end + 24].lstrip(" ,.)>\"'»").lower())
-    return words[-3:], after.group() if after else ""
+    above = WORD_RE.findall(before[:cut].lower())[-2:] if cut > 0 else []
+    return words[-3:], after.group() if after else "", above
 
 
 def candidates(text: str) -> list[Candidate]:
@@ -109,7 +111,8 @@ def candidates(text: str) -> list[Candidate]:
         return not any(x < b and a < y for x, y in taken)
 
     def add(kind: str, form: str, a: int, b: int, seed: bool, terms: list[str], places: list[int]) -> None:
-        found.append(Candidate(kind, form, a, b, seed, *_around(text, a, b), terms, places))
+        left, right, above = _around(text, a, b)
+        found.append(Candidate(kind, form, a, b, seed, left, right, terms, places, above))
         taken.append((a, b))
 
     if "@" in text or "＠" in text or "﹫" in text or QUICK_AT.search(text):

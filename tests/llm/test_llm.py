@@ -134,6 +134,12 @@ def test_corpus_decides(spark, messages, records):
     assert pii.p5_found(messages(), records()).count() == 0
 
 
+def test_number_that_begins_a_line(spark, messages, records):
+    rows = [f"My mobile\n+44 20 7946 08{i:02d} works" for i in range(12)] + ["My mobile\n0151 496 0123", "0151 496 0124 works", "0151 496 0125", "The batch\n0151 496 0126"]
+    m = messages(*[{"message_id": i, "message_text": t} for i, t in enumerate(rows)])
+    assert {r["row_id"] for r in pii.p5_found(m, records()).where("kind = 'phone'").collect()} == set(range(14))
+
+
 def test_both_tables_are_sanitised_as_one_corpus(spark, messages, records, tmp_path):
     m, _ = corpus(messages)
     r = records({"record_id": 1, "text": "SSN 934261799 was lost"}, {"record_id": 2, "text": "Yolande Veldrane signed the form"}, {"record_id": 3, "text": "batch 204881937 passed the check"}, {"record_id": 4})

@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.p1_found(table(spark, folder, "messages"))
 
 
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.p1_scores(table(spark, folder, "messages"))
+
+
 def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.p1_rates(table(spark, folder, "messages"))
 
@@ -63,7 +67,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return residue.clean(table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_splits, p5_found, p5_sanitised, p6_found, p7_mixture, p7_shares, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p3_found, p3_splits, p5_found, p5_sanitised, p6_found, p7_mixture, p7_shares, p8_found, p8_clean)}
 
 SQL = {
     "p3_found": f"""WITH ids AS (SELECT DISTINCT user_id, {key_sql('user_id')} AS k FROM messages)

@@ -1,4 +1,6 @@
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -40,6 +42,25 @@ def test_p1_tables(messages):
     assert abuse.p1_found(messages()).count() == 0
 
 
+def test_no_training_sentence_is_taken_from_the_tables():
+    """No sentence shares a run of four words with the texts that are scored."""
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no tables here")
+    import duckdb
+
+    runs = lambda t: {tuple(w[i : i + 4]) for w in [re.findall(r"[^\W_]+", textnorm.fold(t))] for i in range(len(w) - 3)}
+    have = set().union(*[runs(s) for s, _ in abuse.training_rows()])
+    for table, column in (("messages", "message_text"), ("message_records", "text")):
+        for (text,) in duckdb.sql(f"SELECT DISTINCT {column} FROM '{folder}/{table}.parquet' WHERE {column} IS NOT NULL").fetchall():
+            assert not have & runs(text), text
+
+
+def test_wordings_kept_apart_are_found():
+    got = abuse.held_out(parts=2)
+    assert got["recall"] > 0.8, got
+
+
 def test_words():
     w = textnorm.Words({"idiot": 1.0, "shit": 1.0})
     assert w("1d10t !d!ot id*ot idiiiiot $hit") == ["idiot", "idiot", "idiot", "idiot", "shit"]

@@ -99,3 +99,7 @@ TEMPORAL_ML = [
     ("a_duration", doubles(f"CASE WHEN p_per_session <= 0 THEN 0.0 ELSE 0.3 * {z_anomaly('abs(seq - p_per_session) / (0.4 * p_per_session)')} END")),
     ("temporal_ml", doubles("greatest(0.0, least(1.0, 1.0 / (1.0 + exp(-(a_hour + a_gap + a_frequency + a_duration - 0.5)))))")),
 ]
+SEMANTIC_ML = [
+    ("sem_ml0", doubles("CASE WHEN risk = 'critical' THEN least(1.0, least(1.0, (1.0 - cosine) / 2.0) * 1.2) ELSE least(1.0, (1.0 - cosine) / 2.0) END")),
+    ("semantic_ml", doubles("CASE WHEN seq > 1 AND sem_ml0 > 0.5 THEN least(1.0, sem_ml0 + 0.1) ELSE sem_ml0 END")),
+]

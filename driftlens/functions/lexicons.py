@@ -27,8 +27,11 @@ RECON = ["list all", "show all", "enumerate", "what users", "what permissions",
 SECURITY = ["security", "suspicious", "unusual", "concerned about", "worried about", "is this safe", "is this normal"]
 CLARIFICATION = ["what do you mean", "can you explain", "could you clarify", "i don't understand", "what is", "how does", "why"]
 EXPLORATION = ["how", "what", "why", "learn", "understand", "explain"]
-# fixed values: component weights (semantic, linguistic, temporal) by sensitivity
-WEIGHTS = {"low": (0.5, 0.3, 0.2), "medium": (0.4, 0.35, 0.25), "high": (0.4, 0.3, 0.3), "maximum": (0.35, 0.35, 0.3)}
+#: Flags of a message's text by name, and the phrases that set them.
+SIGNS = {
+    "ato": ATO_PHRASES, "context_change": CONTEXT_CHANGE, "says_destination": DESTINATIONS, "says_injection": INJECTION, "says_urgent": URGENCY, "says_authority": AUTHORITY, "says_recon": RECON,
+    "says_sophisticated": SOPHISTICATED, "says_topic_change": TOPIC_CHANGE, "says_security": SECURITY, "says_clarify": CLARIFICATION, "says_explore": EXPLORATION,
+}
 # fixed values: keywords of the rule detector
 RISK_KEYWORDS = (
     "delete remove reset password account export transfer admin sudo root credential token api_key secret key hack exploit breach penetrate inject "

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -17,8 +16,8 @@ def words(text: Column) -> Column:
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
-    """Whether any phrase occurs, as a substring; one pattern, so that plans and generated code stay small."""
-    return text.rlike("|".join(re.escape(p) for p in phrases))
+    """Whether any phrase occurs, as a substring. A search for each phrase of a constant array: quicker than one pattern of all, and as small a plan."""
+    return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(text, p))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

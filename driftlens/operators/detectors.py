@@ -1,11 +1,11 @@
 """Detectors that look at a message alone, or at its author's rate: keyword rules and content hazards.
 
-All are column expressions; only the rate needs a window, over (account, instant).
+All are column expressions; the rate is counted by ``ordered.with_recent``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftlens.functions import lexicons as X
@@ -45,12 +45,6 @@ def _hazard(counts: Column) -> Column:
     return F.struct(final.alias("score"), (final > 0.50).alias("is_anomaly"), F.array_compact(F.array(*labels)).alias("categories"), F.map_from_entries(pairs).alias("category_scores"))
 
 
-def recent_count(account: str, us: str, seconds: int = 60) -> Column:
-    """Messages of the account in the last ``seconds``, this one and both ends included."""
-    w = Window.partitionBy(account).orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
-    return F.count(F.lit(1)).over(w)
-
-
 def rule_score(text: Column, recent: Column, threshold: int = 10, shortest: int = 10, longest: int = 500) -> dict[str, Column]:
     """``score`` and ``rules`` (array) of keywords, patterns, rate, length, capitals and punctuation."""
     found = rule_verdict(text, recent, threshold, shortest, longest)
@@ -59,21 +53,24 @@ def rule_score(text: Column, recent: Column, threshold: int = 10, shortest: int
 
 def rule_verdict(text: Column, recent: Column, threshold: int = 10, shortest: int = 10, longest: int = 500) -> Column:
     """The same as one struct."""
+    return T.let(rule_signs(text), lambda s: rule_sum(s, recent, threshold, shortest, longest))
+
+
+def rule_signs(text: Column) -> Column:
+    """What the rules read off the text, as a struct of numbers and flags: all that has to move of a text."""
     words = F.array(*[F.lit(k) for k in X.RISK_KEYWORDS])
     n_words = T.let(F.lower(text), lambda low: F.size(F.filter(words, lambda k: F.contains(low, k))))
     hits = [text.rlike(("(?iU)" if p.startswith("(?i)") else "(?U)") + p.removeprefix("(?i)")) for p in X.RULE_PATTERNS]
     caps = (F.length(text) > 20) & text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{Ll}\p{Lt}]")
-    seen = F.struct(
-        n_words.alias("words"), F.length(text).alias("n"), recent.alias("recent"), F.regexp_count(text, F.lit(r"[!?.]")).alias("marks"), caps.alias("caps"), *[h.alias(f"p{i}") for i, h in enumerate(hits)]
-    )
-    return T.let(seen, lambda s: _rules(s, threshold, shortest, longest))
+    return F.struct(n_words.alias("words"), F.length(text).alias("n"), F.regexp_count(text, F.lit(r"[!?.]")).alias("marks"), caps.alias("caps"), *[h.alias(f"p{i}") for i, h in enumerate(hits)])
 
 
-def _rules(s: Column, threshold: int, shortest: int, longest: int) -> Column:
+def rule_sum(s: Column, recent: Column, threshold: int = 10, shortest: int = 10, longest: int = 500) -> Column:
+    """The verdict on the signs of a text and the account's messages of the last minute."""
     parts = [(s["words"] > 0, F.least(s["words"] * 0.15, F.lit(0.4)), F.concat(F.lit("high_risk_keywords: "), s["words"].cast("string")))]
     parts += [(s[f"p{i}"], F.lit(0.25), F.lit("suspicious_pattern: " + p[:30])) for i, p in enumerate(X.RULE_PATTERNS)]
     parts += [
-        (s["recent"] > threshold, F.lit(0.3), F.concat(F.lit("rate_limit_exceeded: "), s["recent"].cast("string"), F.lit(" msg/min"))),
+        (recent > threshold, F.lit(0.3), F.concat(F.lit("rate_limit_exceeded: "), recent.cast("string"), F.lit(" msg/min"))),
         (s["n"] < shortest, F.lit(0.1), F.concat(F.lit("message_too_short: "), s["n"].cast("string"), F.lit(" chars"))),
         (s["n"] > longest, F.lit(0.15), F.concat(F.lit("message_too_long: "), s["n"].cast("string"), F.lit(" chars"))),
         (s["caps"], F.lit(0.1), F.lit("all_caps_message")),
@@ -83,42 +80,52 @@ def _rules(s: Column, threshold: int, shortest: int, longest: int) -> Column:
     return F.struct(F.least(total, F.lit(1.0)).alias("score"), F.array_compact(F.array(*[F.when(hit, name) for hit, _, name in parts])).alias("rules"))
 
 
-def red_flags(df_columns: dict[str, Column]) -> Column:
+# fixed values: texts of red flags and of mitigating factors, in their order
+RED_FLAGS = [
+    "Extreme semantic deviation from typical topics",
+    "Critical operation requested without historical precedent",
+    "Request involves suspicious external destinations",
+    "Message contains prompt injection attempt",
+    "Social engineering escalation pattern detected",
+    "Bot-like timing pattern detected",
+    "APT-style reconnaissance behavior detected",
+    "Impossible velocity or location change detected",
+    "Technical sophistication inconsistent with user history",
+]
+MITIGATING = [
+    "User explicitly announced topic change",
+    "Operation is low-risk information seeking",
+    "User has established history of diverse topics",
+    "User explicitly raised security concern",
+    "Message is clarification or follow-up question",
+    "Behavior consistent with user's exploration patterns",
+]
+
+
+def red_flags(c: dict[str, Column]) -> Column:
     """Ordered texts of suspicious indicators; the columns are named as in ``operators.scoring``."""
-    c = df_columns
-    low = c["low"]
-    social = (T.contains_any(low, X.URGENCY) & T.contains_any(low, X.AUTHORITY)) | ((c["polite"] > 0.8) & c["risk"].isin("high", "critical"))
-    recon = T.contains_any(low, X.RECON) & (~c["typical"] | (c["n_history"] < 50))
-    sophisticated = ~c["p_tech"] & (c["code"] | (F.length(c["text"]) > 200) | T.contains_any(low, X.SOPHISTICATED))
-    rules = [
-        (c["semantic"] > 0.85, "Extreme semantic deviation from typical topics"),
-        ((c["risk"] == "critical") & ~c["p_sensitive"], "Critical operation requested without historical precedent"),
-        (T.contains_any(low, X.DESTINATIONS), "Request involves suspicious external destinations"),
-        (T.contains_any(low, X.INJECTION), "Message contains prompt injection attempt"),
-        (social, "Social engineering escalation pattern detected"),
-        (c["temporal"] > 0.9, "Bot-like timing pattern detected"),
-        (recon, "APT-style reconnaissance behavior detected"),
-        (c["since_h"] < 1.0, "Impossible velocity or location change detected"),
-        (sophisticated, "Technical sophistication inconsistent with user history"),
+    hits = [
+        c["semantic"] > 0.85,
+        (c["risk"] == "critical") & ~c["p_sensitive"],
+        c["says_destination"],
+        c["says_injection"],
+        (c["says_urgent"] & c["says_authority"]) | ((c["polite"] > 0.8) & c["risk"].isin("high", "critical")),
+        c["temporal"] > 0.9,
+        c["says_recon"] & (~c["typical"] | (c["n_history"] < 50)),
+        c["since_h"] < 1.0,
+        ~c["p_tech"] & (c["code"] | c["long_text"] | c["says_sophisticated"]),
     ]
-    return F.array_compact(F.array(*[F.when(hit, F.lit(text)) for hit, text in rules]))
+    return F.array_compact(F.array(*[F.when(hit, F.lit(text)) for hit, text in zip(hits, RED_FLAGS, strict=True)]))
 
 
-def mitigating(df_columns: dict[str, Column]) -> Column:
+def mitigating(c: dict[str, Column]) -> Column:
     """Ordered texts of signs of legitimate use."""
-    c = df_columns
-    low, question = c["low"], F.contains(c["text"], F.lit("?"))
-    rules = [
-        (T.contains_any(low, X.TOPIC_CHANGE), "User explicitly announced topic change"),
-        (c["risk"] == "low", "Operation is low-risk information seeking"),
-        (c["p_diversity"] > 0.6, "User has established history of diverse topics"),
-        (T.contains_any(low, X.SECURITY), "User explicitly raised security concern"),
-        (((c["n_tokens"] < 30) & question) | T.contains_any(low, X.CLARIFICATION), "Message is clarification or follow-up question"),
-        ((c["p_diversity"] > 0.5) & (question | T.contains_any(low, X.EXPLORATION)) & c["risk"].isin("low", "medium"), "Behavior consistent with user's exploration patterns"),
+    hits = [
+        c["says_topic_change"],
+        c["risk"] == "low",
+        c["p_diversity"] > 0.6,
+        c["says_security"],
+        ((c["n_tokens"] < 30) & c["question"]) | c["says_clarify"],
+        (c["p_diversity"] > 0.5) & (c["question"] | c["says_explore"]) & c["risk"].isin("low", "medium"),
     ]
-    return F.array_compact(F.array(*[F.when(hit, F.lit(text)) for hit, text in rules]))
-
-
-def rated(messages: DataFrame) -> DataFrame:
-    """``messages`` with ``recent``, the count of the last minute."""
-    return messages.withColumn("recent", recent_count("account", "us"))
+    return F.array_compact(F.array(*[F.when(hit, F.lit(text)) for hit, text in zip(hits, MITIGATING, strict=True)]))

@@ -2,7 +2,7 @@
 
 Predictions are rows ``(user_id, id, score, should_flag, ...)``; a prediction is positive above ``CUT``. Rank measures
 aggregate by distinct score first, so ties are exact and the window runs over distinct scores. Null scores are left out;
-a null truth counts as negative. With one class only, the confusion counts are 0, as defined, and the AUC 0.5.
+a null truth counts as negative. With one class only, the confusion counts are 0, as defined, and the AUC and the average precision 0.5.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators.ordered import with_rank
+
 CUT = 0.60
 
 
 def ordinal_split(rows: DataFrame, user: str, order: list[str], share: float = 0.8) -> DataFrame:
-    """``part``: 'train' for the first share of each user's rows in order, rounded down, else 'test'."""
-    w = Window.partitionBy(user)
-    first = F.row_number().over(w.orderBy(*order)) <= F.floor(F.count(F.lit(1)).over(w) * F.lit(share))
-    return rows.withColumn("part", F.when(first, "train").otherwise("test"))
+    """``part``: 'train' for the first share of each user's rows in order (the instant first), rounded down, else 'test'."""
+    placed = with_rank(rows, user, order)
+    return placed.withColumn("part", F.when(F.col("i") <= F.floor(F.col("n") * F.lit(share)), "train").otherwise("test")).drop("i", "n")
 
 
 def sample_users(rows: DataFrame, user: str, anomaly: str, limit: int = 20) -> DataFrame:
@@ -32,56 +33,75 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / F.when(b == 0, 1).otherwise(b))
 
 
-def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts and the measures made of them."""
+def _counts(rows: DataFrame, by: list[str] | None) -> DataFrame:
     y, p = F.coalesce(F.col("should_flag"), F.lit(False)), F.col("score") > CUT
-    counts = rows.where(F.col("score").isNotNull()).groupBy(*(by or [])).agg(
+    return rows.where(F.col("score").isNotNull()).groupBy(*(by or [])).agg(
         F.count_if(y & p).alias("tp"), F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn")
     )
+
+
+def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts and the measures made of them. With one class only, the counts and the rates made of them are 0; precision, recall, F1 and accuracy stay."""
     c = {k: F.col(k) for k in ("tp", "tn", "fp", "fn")}
     precision, recall = _ratio(c["tp"], c["tp"] + c["fp"]), _ratio(c["tp"], c["tp"] + c["fn"])
     mcc = F.sqrt((c["tp"] + c["fp"]).cast("double") * (c["tp"] + c["fn"]) * (c["tn"] + c["fp"]) * (c["tn"] + c["fn"]))
-    out = counts.withColumns(
+    out = _counts(rows, by).withColumns(
         {
             "precision": precision, "recall": recall, "f1": _ratio(2 * precision * recall, precision + recall), "accuracy": _ratio(c["tp"] + c["tn"], c["tp"] + c["tn"] + c["fp"] + c["fn"]),
-            "fpr": _ratio(c["fp"], c["fp"] + c["tn"]), "fnr": _ratio(c["fn"], c["fn"] + c["tp"]), "mcc": _ratio((c["tp"] * c["tn"] - c["fp"] * c["fn"]).cast("double"), mcc),
+            "fpr": _ratio(c["fp"], c["fp"] + c["tn"]), "fnr": _ratio(c["fn"], c["fn"] + c["tp"]), "tpr": recall, "tnr": _ratio(c["tn"], c["tn"] + c["fp"]), "mcc": _ratio((c["tp"] * c["tn"] - c["fp"] * c["fn"]).cast("double"), mcc),
         }
     )
     single = (c["tp"] + c["fn"] == 0) | (c["tn"] + c["fp"] == 0)
-    zero = {k: F.when(single, 0).otherwise(c[k]) for k in c} | {k: F.when(single, 0.0).otherwise(F.col(k)) for k in ("fpr", "fnr", "mcc")}
+    zero = (*c, "fpr", "fnr", "tpr", "tnr", "mcc")
     return out.withColumn("single", single).withColumns({k: F.when(F.col("single"), 0).otherwise(F.col(k)) for k in zero}).drop("single")
 
 
 def per_class(rows: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support by ``anomaly_type`` and by ``attack_phase``; missing classes are benign.
 
-    Within a class only its own rows count: positives are the flagged ones.
+    Within a class only its own rows count: positives are the flagged ones, and the support is the number of rows.
     """
     both = rows.select("should_flag", "score", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lower(F.trim(F.col(k))).alias("cls")) for k in ("anomaly_type", "attack_phase")])).alias("k"))
     cls = F.when(F.coalesce(F.col("k.cls"), F.lit("")) == "", "benign").otherwise(F.col("k.cls"))
-    return confusion(both.select("should_flag", "score", F.col("k.key").alias("key"), cls.alias("cls")), ["key", "cls"]).select("key", "cls", (F.col("tp") + F.col("fn")).alias("support"), "precision", "recall", "f1")
+    c = _counts(both.select("should_flag", "score", F.col("k.key").alias("key"), cls.alias("cls")), ["key", "cls"])
+    precision, recall = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return c.select("key", "cls", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("support"), precision.alias("precision"), recall.alias("recall"), _ratio(2 * precision * recall, precision + recall).alias("f1"))
+
+
+#: Ranges of scores whose sums are worked out first, so that no task has all distinct scores.
+RANGES = 4096
 
 
-def _by_score(rows: DataFrame) -> DataFrame:
+def _by_score(rows: DataFrame, falling: bool) -> DataFrame:
+    """By distinct score: positives, negatives, and the sums of both before it (``pos_before``, ``neg_before``) in rising or falling order."""
     y = F.coalesce(F.col("should_flag"), F.lit(False)).cast("long")
-    return rows.where(F.col("score").isNotNull()).groupBy("score").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    sums = rows.where(F.col("score").isNotNull()).groupBy("score").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    # Scores lie between 0 and 1; any others fall into the first or the last range.
+    place = F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor(F.col("score") * RANGES)))
+    sums = sums.withColumn("_r", (RANGES - 1 - place) if falling else place).withColumn("_s", -F.col("score") if falling else F.col("score"))
+    each = sums.groupBy("_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    up = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    before = each.select("_r", F.coalesce(F.sum("_p").over(up), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_n"))
+    within = Window.partitionBy("_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    inner = {f"{c}_before": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in ("pos", "neg")}
+    return sums.withColumns(inner).join(F.broadcast(before), "_r").select("score", "pos", "neg", (F.col("pos_before") + F.col("_p")).alias("pos_before"), (F.col("neg_before") + F.col("_n")).alias("neg_before"))
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
     """The chance that a positive has a higher score than a negative, ties counting half; 0.5 with one class."""
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # over distinct scores
-    won = _by_score(rows).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return won.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u")).select(
+    won = _by_score(rows, falling=False)
+    return won.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u")).select(
         F.coalesce(F.col("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.col("n"), F.lit(0)).alias("n_neg"),
         F.when((F.coalesce("p", F.lit(0)) == 0) | (F.coalesce("n", F.lit(0)) == 0), 0.5).otherwise(F.col("u") / (F.col("p").cast("double") * F.col("n"))).alias("auc"),
     )
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
-    """The sum over thresholds of the gain in recall times precision; 0 without positives."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over distinct scores
-    c = _by_score(rows).withColumns({"tp": F.sum("pos").over(w), "all": F.sum(F.col("pos") + F.col("neg")).over(w)})
-    return c.agg(F.sum("pos").alias("p"), F.sum(F.col("pos") * (F.col("tp") / F.col("all"))).alias("s")).select(F.coalesce(F.col("s") / F.when(F.col("p") > 0, F.col("p")), F.lit(0.0)).alias("average_precision"))
+    """The sum over thresholds of the gain in recall times precision; 0.5 with one class."""
+    c = _by_score(rows, falling=True)
+    tp, every = F.col("pos_before") + F.col("pos"), F.col("pos_before") + F.col("pos") + F.col("neg_before") + F.col("neg")
+    both = (F.coalesce("p", F.lit(0)) > 0) & (F.coalesce("n", F.lit(0)) > 0)
+    return c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (tp / every)).alias("s")).select(F.when(both, F.col("s") / F.col("p")).otherwise(0.5).alias("average_precision"))
 
 
 def attribution(rows: DataFrame) -> DataFrame:

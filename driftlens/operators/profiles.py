@@ -1,8 +1,7 @@
 """Profiles: one row per user from the ordered history of their normal messages.
 
-All parts of a profile are grouped aggregates that combine before the shuffle; the order that some need (gaps,
-first appearance among ties) is a window over (instant, id) within a user. The narrow columns that windows need are
-computed before, so a user with very many messages costs a wide sort but not wide rows.
+All parts of a profile are grouped aggregates that combine before the shuffle; the order that gaps and centroids need is that of
+``operators.ordered``, which doesn't put a user's messages into one task, and windows of top values run over distinct values.
 
 Defined results: a record imported twice counts once; records without user, or without a readable timestamp, are left out;
 null text counts as empty, a null anomaly flag as normal. Users without normal history get the cold-start profile
@@ -16,7 +15,12 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import lexicons as X
 from driftlens.functions import text as T
+from driftlens.functions.encoders import Encoder
 from driftlens.functions.timestamps import iso_instant, iso_wall
+from driftlens.operators import vectors
+from driftlens.operators.ordered import with_previous, with_rank
+from driftlens.sources.tables import spread
+from driftlens.storage import cut
 
 #: The profile of a user without history.
 COLD_START = {
@@ -32,17 +36,18 @@ def history(records: DataFrame) -> DataFrame:
     """Features of each normal record, narrow: ``(user_id, id, us, session, hour, day, ...)``."""
     t = F.coalesce("text", F.lit(""))
     wall = iso_wall(F.col("timestamp"))
-    once = records.where(F.col("record_id").isNotNull()).dropDuplicates(["record_id"])
-    base = once.select(
+    read = spread(records.where(F.col("record_id").isNotNull()).select("record_id", "user_id", "text", "timestamp", "session_id", "is_anomaly", "operation_risk"))
+    base = read.select(
         F.col("user_id"), F.col("record_id").alias("id"), F.unix_micros(iso_instant(F.col("timestamp"))).alias("us"), F.coalesce("session_id", F.lit("default")).alias("session"),
         wall.alias("wall"), F.coalesce("is_anomaly", F.lit(False)).alias("anomaly"), T.valid_risk(F.col("operation_risk")).alias("risk"), t.alias("text"), F.lower(t).alias("low"), T.words(t).alias("ws"),
-    ).where("user_id IS NOT NULL AND us IS NOT NULL AND NOT anomaly")
-    return base.select(
+    )
+    seen = base.select(
         "user_id", "id", "us", "session", F.hour("wall").alias("hour"), F.date_format("wall", "EEEE").alias("day"), F.size("ws").alias("n_tokens"), F.length("text").alias("n_chars"),
         T.lexical_diversity(F.col("ws")).alias("lex"), T.question_ratio(F.col("text")).alias("question"), F.least(F.lit(1.0), F.size("ws") / 50.0).alias("formality"),
         T.contains_any(F.col("low"), X.POLITE_BUILD).cast("double").alias("polite"), T.contains_any(F.col("text"), ["def ", "```"]).alias("code"), T.contains_any(F.col("low"), X.TECH_WORDS).alias("tech"),
-        F.coalesce(F.col("risk").isin("high", "critical"), F.lit(False)).alias("sensitive"), T.topic_words(F.col("ws")).alias("topic_words"),
+        F.coalesce(F.col("risk").isin("high", "critical"), F.lit(False)).alias("sensitive"), T.topic_words(F.col("ws")).alias("topic_words"), "anomaly",
     )
+    return seen.dropDuplicates(["id"]).where("user_id IS NOT NULL AND us IS NOT NULL AND NOT anomaly").drop("anomaly")
 
 
 def _spread(c: str) -> Column:
@@ -60,9 +65,8 @@ def statistics(rows: DataFrame) -> DataFrame:
 
 def gaps(rows: DataFrame) -> DataFrame:
     """Mean of the gaps between neighbouring messages that are positive and under an hour; 30 seconds without any."""
-    w = Window.partitionBy("user_id").orderBy("us", "id")
-    s = (F.col("us") - F.lag("us").over(w)) / 1e6
-    return rows.select("user_id", s.alias("s")).groupBy("user_id").agg(F.coalesce(F.avg(F.when((F.col("s") > 0) & (F.col("s") < 3600), F.col("s"))), F.lit(30.0)).alias("p_gap"))
+    s = (F.col("us") - F.col("before.us")) / 1e6
+    return with_previous(rows.select("user_id", "us", "id"), "user_id", ["us", "id"], ["us"]).select("user_id", s.alias("s")).groupBy("user_id").agg(F.coalesce(F.avg(F.when((F.col("s") > 0) & (F.col("s") < 3600), F.col("s"))), F.lit(30.0)).alias("p_gap"))
 
 
 def session_statistics(rows: DataFrame) -> DataFrame:
@@ -90,9 +94,21 @@ def topics(rows: DataFrame) -> DataFrame:
     return top(said, "word", 10, ["us", "id", "pos"], "topics")
 
 
-def build(records: DataFrame, users: DataFrame) -> DataFrame:
-    """Profiles of all users with normal history."""
-    rows = history(records)
+def centroids(records: DataFrame, encoder: Encoder, decay: float = 0.95) -> DataFrame:
+    """``(user_id, centroid)``: the decayed mean of the vectors of a user's normal records, in their order, at unit length."""
+    vectors_ = records.where("record_id IS NOT NULL").dropDuplicates(["record_id"]).where("user_id IS NOT NULL AND NOT coalesce(is_anomaly, false)")
+    rows = vectors_.select("user_id", F.unix_micros(iso_instant(F.col("timestamp"))).alias("us"), F.col("record_id").alias("id"), encoder(F.coalesce("text", F.lit(""))).alias("v")).where("us IS NOT NULL")
+    return vectors.decayed(with_rank(rows, "user_id", ["us", "id"]), "user_id", "v", decay)
+
+
+def build(records: DataFrame, users: DataFrame, encoder: Encoder | None = None, decay: float = 0.95) -> DataFrame:
+    """Profiles of all users with normal history; with an encoder, with the centroid of their texts."""
+    made = _built(records, users)
+    return made if encoder is None else made.join(centroids(records, encoder, decay), "user_id", "left")
+
+
+def _built(records: DataFrame, users: DataFrame) -> DataFrame:
+    rows = cut(history(records), "history")  # read by seven aggregates
     ages = users.where("user_id IS NOT NULL").groupBy("user_id").agg(F.max(F.struct("updated_at", "account_age_days")).alias("v")).select("user_id", F.col("v.account_age_days").alias("age"))
     return (
         statistics(rows)

@@ -1,8 +1,7 @@
 """Embedding vectors: decayed and recency-weighted centroids, cosine.
 
 A centroid is a weighted sum, with the weight of each vector known from its rank in the user's order, so
-sums combine before the shuffle and no user's vectors meet in one row or task (the rank is a window over narrow
-rows). Vectors with a null or another length than the first of their group are left out by the caller.
+sums combine before the shuffle and no user's vectors meet in one row or task. Vectors with a null or another length than the first of their group are left out by the caller.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.operators.ordered import with_rank
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -37,15 +38,29 @@ def weighted_sum(rows: DataFrame, group: str, vector: str, weight: str) -> DataF
     return sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("centroid"))
 
 
-def ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
+def ranked(rows: DataFrame, group: str, order: str, width: int = 1 << 16) -> DataFrame:
+    """``i``, the place in the group's order, and ``n``, its size. A numeric order is cut into spans, so that no group has to fit into one task."""
+    if dict(rows.dtypes)[order] in ("bigint", "int", "smallint", "tinyint"):
+        return with_rank(rows, group, [order], width)
     w = Window.partitionBy(group)
     return rows.withColumn("i", F.row_number().over(w.orderBy(order))).withColumn("n", F.count(F.lit(1)).over(w))
 
 
-def ema_centroid(rows: DataFrame, group: str, order: str, vector: str, decay: float = 0.95) -> DataFrame:
-    """The decayed mean c = decay * c + (1 - decay) * x in order, started with the first vector, at unit length."""
+def decayed(rows: DataFrame, group: str, vector: str, decay: float) -> DataFrame:
+    """The decayed mean c = decay * c + (1 - decay) * x of ranked rows, started with the first vector, at unit length."""
     weight = F.when(F.col("i") == 1, F.pow(F.lit(decay), F.col("n") - 1)).otherwise((1 - decay) * F.pow(F.lit(decay), F.col("n") - F.col("i")))
-    return weighted_sum(ranked(rows, group, order).withColumn("w", weight), group, vector, "w").withColumn("centroid", normalised(F.col("centroid")))
+    return weighted_sum(rows.withColumn("w", weight), group, vector, "w").withColumn("centroid", normalised(F.col("centroid")))
+
+
+def ema_centroid(rows: DataFrame, group: str, order: str, vector: str, decay: float = 0.95) -> DataFrame:
+    """``decayed``, in the order of a column."""
+    return decayed(ranked(rows, group, order), group, vector, decay)
+
+
+def mean_centroid(parts: Column) -> Column:
+    """The mean of an array of vectors at unit length: the centroid of a profile that has topics but no history. Null without vectors."""
+    total = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), parts[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.when(F.size(parts) > 0, normalised(total))
 
 
 def recency_weight() -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.operators import forest, metrics, profiles, scoring, vectors
+from driftlens.operators import forest, metrics, scoring, vectors
 from driftlens.plans.events import instant_sql, key_sql
-from driftlens.plans.scoring import EVALUATED_SQL, VERDICT
+from driftlens.plans.scoring import EVALUATED_SQL, VERDICT, built
 from driftlens.sources.tables import table, tables
 from driftlens.storage import cut
 
@@ -49,8 +49,7 @@ def iso_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    messages, records, users = tables(spark, folder, "messages", "message_records", "users")
-    rows = scoring.composite(scoring.components(scoring.facts(scoring.with_profile(scoring.current(messages), profiles.build(records, users)))))
+    rows = scoring.composite(scoring.components(scoring.prepared(table(spark, folder, "messages"), built(spark, folder))))
     narrow = rows.select(F.col("account").alias("user_id"), "id", F.round("score", 6).alias("score"), "should_flag", "anomaly_type", "attack_phase", "mechanism", "weighted")
     # Written once: a measure's filter on the score would else be pushed down with all that the score is made of.
     return cut(narrow, "predictions")
@@ -84,8 +83,8 @@ def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_80_20(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scoring.latest(table(spark, folder, "messages")).select("message_id", scoring.account_key(F.col("user_id")).alias("account"), F.unix_micros(scoring.iso_instant(F.col("timestamp"))).alias("us")).where("account IS NOT NULL AND us IS NOT NULL")
-    return metrics.ordinal_split(rows, "account", ["us", "message_id"]).select("message_id", "part")
+    rows = scoring.timed(table(spark, folder, "messages"))
+    return metrics.ordinal_split(rows, "account", ["us", "id"]).select(F.col("id").alias("message_id"), "part")
 
 
 def sample_users(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,11 +131,11 @@ SELECT tp, tn, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS rec
   round({_div('tp * tn - fp * fn', 'sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn))')}, 6) AS mcc FROM r""",
     "per_class": f"""{_P}, k AS (SELECT 'anomaly_type' AS key, coalesce(nullif(lower(trim(anomaly_type)), ''), 'benign') AS cls, should_flag, score FROM pred UNION ALL SELECT 'attack_phase', coalesce(nullif(lower(trim(attack_phase)), ''), 'benign'), should_flag, score FROM pred),
 cnt AS (SELECT key, cls, {_COUNTS} FROM k GROUP BY key, cls), r AS (SELECT *, {_PR} FROM cnt)
-SELECT key, cls, CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN 0 ELSE tp + fn END AS support, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_F1}, 6) AS f1 FROM r""",
+SELECT key, cls, tp + tn + fp + fn AS support, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_F1}, 6) AS f1 FROM r""",
     "roc_auc": f"""{_P}, g AS (SELECT score, count_if(should_flag) AS pos, count_if(NOT should_flag) AS neg FROM pred GROUP BY score), b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
 SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, round(sum(pos * (below + neg / 2e0)) / (sum(pos)::DOUBLE * sum(neg)), 6) AS auc FROM b""",
     "avg_precision": f"""{_P}, g AS (SELECT score, count_if(should_flag) AS pos, count(*) AS n FROM pred GROUP BY score), cum AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS alln FROM g)
-SELECT round(sum(pos * (tp::DOUBLE / alln)) / sum(pos), 6) AS average_precision FROM cum""",
+SELECT CASE WHEN coalesce(sum(pos), 0) IN (0, sum(n)) THEN 5e-1 ELSE round(sum(pos * (tp::DOUBLE / alln)) / sum(pos), 6) END AS average_precision FROM cum""",
     "attribution": f"{_P}, h AS (SELECT mechanism, count(*) AS n FROM pred WHERE should_flag AND score > 6e-1 GROUP BY mechanism) SELECT mechanism, n, round(1e2 * n / sum(n) OVER (), 1) AS pct FROM h",
     "latency_percentiles": "SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events",
     "split_80_20": f"""WITH m AS (SELECT message_id, {key_sql('user_id')} AS account, {instant_sql('timestamp')} AS us FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ingested_at DESC) AS rn FROM messages) WHERE rn = 1)

@@ -9,24 +9,28 @@ from driftlens.functions import lexicons as X
 from driftlens.functions import text as T
 from driftlens.operators import profiles
 from driftlens.plans.events import instant_sql
-from driftlens.sources.tables import table, tables
+from driftlens.sources.tables import spread, table, tables
 
 
-def text_features(spark: SparkSession, folder: str) -> DataFrame:
+def _read(spark: SparkSession, folder: str) -> DataFrame:
+    """``(message_id, t, h)``: texts of messages, and a hash by which equal ones of a message are known after their features have been worked out."""
     t = F.coalesce("message_text", F.lit(""))
-    once = table(spark, folder, "messages").select("message_id", t.alias("t")).distinct()
-    rows = once.select("message_id", "t", F.lower("t").alias("low"), T.words(F.col("t")).alias("ws"), T.topics(F.col("t")).alias("topics"))
-    return rows.select(
-        "message_id", F.size("ws").cast("long").alias("n_tokens"), F.length("t").cast("long").alias("n_chars"), F.round(T.lexical_diversity(F.col("ws")), 6).alias("lex"),
+    return spread(table(spark, folder, "messages").select("message_id", t.alias("t"))).withColumn("h", F.xxhash64("t"))
+
+
+def text_features(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder).select("message_id", "h", "t", F.lower("t").alias("low"), T.words(F.col("t")).alias("ws"), T.topics(F.col("t")).alias("topics"))
+    seen = rows.select(
+        "message_id", "h", F.size("ws").cast("long").alias("n_tokens"), F.length("t").cast("long").alias("n_chars"), F.round(T.lexical_diversity(F.col("ws")), 6).alias("lex"),
         F.round(T.lexical_diversity(F.col("ws"), fold=False), 6).alias("lex_cased"), F.round(T.question_ratio(F.col("t")), 6).alias("question"), F.least(F.lit(1.0), F.size("ws") / 50.0).alias("formality"),
         T.contains_any(F.col("low"), X.POLITE_BUILD).alias("polite"), T.contains_any(F.col("t"), ["def ", "```"]).alias("code"), F.contains("t", F.lit("http")).alias("urls"),
         T.contains_any(F.col("low"), X.TECH_WORDS).alias("tech"), F.size("topics").cast("long").alias("n_topics"), F.array_join(F.array_sort(T.topic_words(F.col("ws"))), " ").alias("topic_words"),
     )
+    return seen.dropDuplicates(["message_id", "h"]).drop("h")
 
 
 def operation_risk(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "messages").select("message_id", F.coalesce("message_text", F.lit("")).alias("t")).distinct()
-    return rows.select("message_id", T.operation_risk(F.col("t")).alias("inferred_risk"))
+    return _read(spark, folder).select("message_id", "h", T.operation_risk(F.col("t")).alias("inferred_risk")).dropDuplicates(["message_id", "h"]).drop("h")
 
 
 def profile_full(spark: SparkSession, folder: str) -> DataFrame:

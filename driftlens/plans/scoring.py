@@ -8,89 +8,106 @@ from pyspark.sql import functions as F
 from driftlens.functions import ladders as L
 from driftlens.functions import lexicons as X
 from driftlens.functions import text as T
-from driftlens.operators import detectors, profiles, scoring
+from driftlens.functions.encoders import WIDTH, hashed_bag
+from driftlens.operators import detectors, explain, ordered, profiles, scoring
 from driftlens.operators.profiles import COLD_START
 from driftlens.plans.events import instant_sql, key_sql
 from driftlens.plans.features import PROFILE_SQL, TOPICS_SQL, any_sql, count_sql, risk_sql, words_sql
-from driftlens.sources.tables import table, tables
+from driftlens.sources.tables import spread, table, tables
+from driftlens.storage import cut
 
 SCORES = ["semantic", "linguistic", "temporal", "score"]
 
 
 def content_safety(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest delivery of each message; only the verdict moves."""
     t = F.coalesce("message_text", F.lit(""))
-    rows = table(spark, folder, "messages").select("message_id", t.alias("t")).distinct()
-    found = {c: F.col(f"found.{c}") for c in ("score", "is_anomaly", "categories")}
-    return rows.withColumn("found", detectors.hazard_verdict(F.col("t"))).select("message_id", F.round(found["score"], 3).alias("score"), found["is_anomaly"].alias("is_anomaly"), F.array_join(found["categories"], ",").alias("categories"), F.size(found["categories"]).cast("long").alias("n_categories"))
-
-
-def _timed(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.current(table(spark, folder, "messages"))
+    rows = spread(table(spark, folder, "messages").where("message_id IS NOT NULL").select("message_id", "ingested_at", "user_id", "timestamp", "message_text")).select("message_id", F.col("ingested_at").alias("version"), F.xxhash64("user_id", "timestamp", "message_text").alias("tie"), detectors.hazard_verdict(t).alias("found"))
+    rows = scoring.latest(rows, "message_id", "version", "tie")
+    found = {c: F.col(f"found.{c}") for c in ("score", "is_anomaly", "categories", "category_scores")}
+    listed = F.transform(F.array_sort(F.map_entries(found["category_scores"])), lambda e: F.format_string("%s=%.3f", e["key"], e["value"]))
+    return rows.select(
+        "message_id", F.round(found["score"], 3).alias("score"), found["is_anomaly"].alias("is_anomaly"), F.array_join(found["categories"], ",").alias("categories"),
+        F.size(found["categories"]).cast("long").alias("n_categories"), F.array_join(listed, ",").alias("category_scores"),
+    )
 
 
 def rate_limit_window(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _timed(spark, folder).select("id", "account", "us")
-    return rows.select(F.col("id").alias("message_id"), detectors.recent_count("account", "us").alias("last_minute"), detectors.recent_count("account", "us", 6 * 3600).alias("last_six_hours"))
+    rows = scoring.timed(table(spark, folder, "messages"))
+    rows = ordered.with_recent(ordered.with_recent(rows, "account", "us", 60, "last_minute"), "account", "us", 6 * 3600, "last_six_hours")
+    return rows.select(F.col("id").alias("message_id"), "last_minute", "last_six_hours")
 
 
 def rule_based_detect(spark: SparkSession, folder: str) -> DataFrame:
-    rows = detectors.rated(_timed(spark, folder).select("id", "account", "us", "text"))
+    signs = detectors.rule_signs(F.coalesce("message_text", F.lit("")))
+    rows = ordered.with_recent(scoring.timed(table(spark, folder, "messages"), signs=signs), "account", "us", 60, "recent")
     found = {c: F.col(f"found.{c}") for c in ("score", "rules")}
-    return rows.withColumn("found", detectors.rule_verdict(F.col("text"), F.col("recent"))).select(F.col("id").alias("message_id"), F.round(found["score"], 6).alias("score"), (found["score"] > 0.5).alias("is_anomaly"), F.size(found["rules"]).cast("long").alias("n_rules"), F.array_join(found["rules"], "; ").alias("rules"))
+    return rows.withColumn("found", detectors.rule_sum(F.col("signs"), F.col("recent"))).select(F.col("id").alias("message_id"), F.round(found["score"], 6).alias("score"), (found["score"] > 0.5).alias("is_anomaly"), F.size(found["rules"]).cast("long").alias("n_rules"), F.array_join(found["rules"], "; ").alias("rules"))
 
 
-def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
-    messages, records, users = tables(spark, folder, "messages", "message_records", "users")
-    return scoring.evaluate(messages, profiles.build(records, users))
+def built(spark: SparkSession, folder: str, centroids: bool = False) -> DataFrame:
+    """Profiles, written once: the planner then knows whether they are small enough to be sent to all."""
+    records, users = tables(spark, folder, "message_records", "users")
+    return cut(profiles.build(records, users, hashed_bag if centroids else None), "profiles")
 
 
-def evaluate_rule(spark: SparkSession, folder: str) -> DataFrame:
-    return _evaluated(spark, folder).select(
-        F.col("id").alias("message_id"), *[F.round(c, 6).alias(c) for c in SCORES], "mechanism", "confidence", "risk_level",
-        F.array_join("red_flags", "; ").alias("red_flags"), F.array_join("mitigating", "; ").alias("mitigating"), F.size("primary_factors").cast("long").alias("n_factors"),
+def _told(rows: DataFrame, *more: str) -> DataFrame:
+    """The columns of an evaluation; lists as one string each."""
+    lists = [F.array_join(c, "; ").alias(c) for c in ("red_flags", "mitigating", "primary_factors", "semantic_factors", "linguistic_factors", *(m for m in more if m.endswith("factors")))]
+    said = [F.col(f"{p}_said").alias(f"{p}_reasoning") for p in ("semantic", "linguistic", "temporal")]
+    return rows.select(
+        F.col("id").alias("message_id"), *[F.round(c, 6).alias(c) for c in SCORES], "mechanism", "confidence", "risk_level", *lists, *said, "operation_risk_assessment", "overall_summary",
+        *[F.col(m) for m in more if not m.endswith("factors")],
     )
 
 
+def evaluate_rule(spark: SparkSession, folder: str) -> DataFrame:
+    rows = scoring.evaluate(table(spark, folder, "messages"), built(spark, folder))
+    return _told(explain.confidence_factors(rows), "temporal_factors", "sufficient_history", "clear_patterns", "high_signal_quality")
+
+
 def evaluate_ml(spark: SparkSession, folder: str) -> DataFrame:
-    messages, records, users = tables(spark, folder, "messages", "message_records", "users")
-    rows = scoring.learned(scoring.facts(scoring.with_profile(scoring.current(messages), profiles.build(records, users))))
-    return rows.select(F.col("id").alias("message_id"), *[F.round(c, 6).alias(c) for c in ("distance", "linguistic_ml", "hour_p", "a_hour", "a_gap", "a_frequency", "a_duration", "temporal_ml")])
+    rows = scoring.evaluate_learned(table(spark, folder, "messages"), built(spark, folder, centroids=True))
+    parts = {c: F.round(c, 6) for c in ("cosine", "distance", "hour_p", "a_hour", "a_gap", "a_frequency", "a_duration")}
+    return _told(rows.withColumns(parts), *parts)
+
+
+def evaluation_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Results as JSON, without the id and the time of the run."""
+    rows = scoring.evaluate(table(spark, folder, "messages"), built(spark, folder))
+    return explain.as_json(explain.result(rows)).select(F.col("id").alias("message_id"), "json")
 
 
 def composite_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Every setting of ``system_configs`` over all messages, in one pass: scores don't depend on the setting, so they are worked out once."""
-    messages, records, users, configs = tables(spark, folder, "messages", "message_records", "users", "system_configs")
-    rows = scoring.components(scoring.facts(scoring.with_profile(scoring.current(messages), profiles.build(records, users))))
+    messages, configs = tables(spark, folder, "messages", "system_configs")
+    rows = scoring.components(scoring.prepared(messages, built(spark, folder)))
     narrow = rows.select("id", "semantic", "linguistic", "temporal", "risk", "p_sensitive", "ato", "context_change", "n_tokens", "formality", "question", "n_history", "n_typical_all", "p_lex_std", "p_formality_std", "n_hours", "p_diversity", "p_tokens", "p_frequency")
     settings = configs.select(
         "config_id", F.col("sensitivity_level").alias("sensitivity"), F.coalesce("enable_semantic_scoring", F.lit(True)).alias("use_semantic"), F.coalesce("enable_linguistic_scoring", F.lit(True)).alias("use_linguistic"),
         F.coalesce("enable_temporal_scoring", F.lit(True)).alias("use_temporal"), F.coalesce("overrides_enabled", F.lit(True)).alias("overrides"),
     )
-    one = narrow.withColumn("setting", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in settings.orderBy("config_id").limit(1000).collect()])))
-    scored = scoring.composite(one.select("*", "setting.*").drop("setting"))
-    return scored.groupBy("config_id").agg(
-        F.count(F.lit(1)).alias("n_messages"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("risk_level") == "HIGH_RISK").alias("n_high"), F.count_if(F.col("risk_level") == "SUSPICIOUS").alias("n_suspicious"),
-        F.count_if(F.col("mechanism") == "normal_override").alias("n_normal_override"), F.count_if(F.col("mechanism").startswith("override_")).alias("n_high_override"),
-    )
+    return scoring.sweep(narrow, settings)
 
 
-QUERIES = {f.__name__: f for f in (content_safety, rate_limit_window, rule_based_detect, evaluate_rule, evaluate_ml, composite_sweep)}
+QUERIES = {f.__name__: f for f in (content_safety, rate_limit_window, rule_based_detect, evaluate_rule, evaluate_ml, evaluation_json, composite_sweep)}
 
 _HITS = ", ".join(f"({count_sql('t', patterns)}) AS h{i}" for i, (_, _, patterns) in enumerate(X.HAZARDS))
 _SCORES = ", ".join(f"CASE WHEN h{i} > 0 THEN {w}e0 * least(1e0, 5e-1 + 25e-2 * h{i}) END AS s{i}" for i, (_, w, _) in enumerate(X.HAZARDS))
 _N = len(X.HAZARDS)
 _ABUSE = [n for n, *_ in X.HAZARDS].index("S2_account_abuse")
 _CATS = ", ".join([*(f"CASE WHEN h{i} > 0 THEN '{n}' END" for i, (n, *_) in enumerate(X.HAZARDS)), f"CASE WHEN ops > 0 AND h{_ABUSE} = 0 THEN 'high_risk_operation' END"])
-_SAFETY = f"""WITH hits AS (SELECT message_id, t, {_HITS}, ({count_sql('t', X.HIGH_RISK_OPS)}) AS ops FROM (SELECT DISTINCT message_id, coalesce(message_text, '') AS t FROM messages)),
+_CATMAP = ", ".join([*(f"CASE WHEN h{i} > 0 THEN '{n}=' || printf('%.3f', round(s{i}, 3)) END" for i, (n, *_) in enumerate(X.HAZARDS)), f"CASE WHEN ops > 0 AND h{_ABUSE} = 0 THEN 'high_risk_operation=' || printf('%.3f', round(15e-2 * ops, 3)) END"])
+_SAFETY = f"""WITH hits AS (SELECT message_id, t, {_HITS}, ({count_sql('t', X.HIGH_RISK_OPS)}) AS ops FROM (SELECT message_id, coalesce(message_text, '') AS t, row_number() OVER (PARTITION BY message_id ORDER BY ingested_at DESC) AS rn FROM messages) WHERE rn = 1),
 scored AS (SELECT *, {_SCORES}, {' + '.join(f'(h{i} > 0)::INT' for i in range(_N))} AS k FROM hits),
 best AS (SELECT *, coalesce(greatest({', '.join(f's{i}' for i in range(_N))}), 0e0) AS b FROM scored),
 summed AS (SELECT *, CASE WHEN k > 1 THEN least(1e0, b + 1e-1 * (k - 1)) ELSE b END AS c FROM best),
-final AS (SELECT *, CASE WHEN ops > 0 THEN least(1e0, c + 15e-2 * ops) ELSE c END AS f, list_filter([{_CATS}], lambda x: x IS NOT NULL) AS cats FROM summed)
-SELECT message_id, round(f, 3) AS score, f > 5e-1 AS is_anomaly, array_to_string(cats, ',') AS categories, len(cats) AS n_categories FROM final"""
+final AS (SELECT *, CASE WHEN ops > 0 THEN least(1e0, c + 15e-2 * ops) ELSE c END AS f, list_filter([{_CATS}], lambda x: x IS NOT NULL) AS cats, list_filter([{_CATMAP}], lambda x: x IS NOT NULL) AS each FROM summed)
+SELECT message_id, round(f, 3) AS score, f > 5e-1 AS is_anomaly, array_to_string(cats, ',') AS categories, len(cats) AS n_categories, array_to_string(list_sort(each), ',') AS category_scores FROM final"""
 _CURRENT = f"""cur AS (SELECT *, coalesce(given_gap, CASE WHEN lag(session) OVER w = session THEN (us - lag(us) OVER w) / 1e6 END, 30e0) AS gap FROM (
   SELECT message_id AS id, {key_sql('user_id')} AS account, {instant_sql('timestamp')} AS us, coalesce(session_id, 'session_0') AS session, t AS text, lower(t) AS low, coalesce(sequence_in_session, 1) AS seq,
     time_since_last_message_seconds AS given_gap, coalesce(time_since_last_session_hours, 24e0) AS since_h, coalesce(message_length_tokens, len(ws))::DOUBLE AS n_tokens, coalesce(language, 'en') AS language,
-    CASE WHEN lower(trim(operation_risk)) IN ('low', 'medium', 'high', 'critical') THEN lower(trim(operation_risk)) ELSE {risk_sql('t')} END AS risk,
+    CASE WHEN lower(trim(operation_risk)) IN ('low', 'medium', 'high', 'critical') THEN lower(trim(operation_risk)) ELSE {risk_sql('t')} END AS risk, CASE WHEN operation_type IN ('read', 'write', 'delete', 'export', 'auth_change', 'permission_change', 'financial', 'admin', 'none') THEN operation_type ELSE 'read' END AS operation,
     coalesce(contains_code, {any_sql('t', ['def ', '```'])}) AS code, coalesce(contains_urls, contains(t, 'http')) AS urls, CAST(len(list_distinct(ws)) AS DOUBLE) / greatest(len(ws), 1) AS lex, 5e-1 AS formality, 6e-1 AS polite,
     CAST(substr(regexp_replace(trim(timestamp), '^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})[Tt ]([0-9]{{2}})', '\\1-\\2-\\3T\\4'), 12, 2) AS INT) AS hour, {TOPICS_SQL.format(t='t')} AS said,
     coalesce(should_flag, false) AS should_flag, anomaly_type, attack_phase
@@ -119,31 +136,116 @@ _C1, COMPONENTS = _chain("facts", _PARTS, "c")
 _VERDICT = [*L.COMPOSITE, ("confidence", L.CONFIDENCE), *L.RISK]
 _C2, VERDICT = _chain(f"(SELECT *, 'medium' AS sensitivity, true AS use_semantic, true AS use_linguistic, true AS use_temporal, true AS overrides FROM {COMPONENTS})", _VERDICT, "v")
 EVALUATED_SQL = f"{FACTS_SQL}, {_C1}, {_C2}"
-_FLAGS = [
-    ("semantic > 85e-2", "Extreme semantic deviation from typical topics"),
-    ("risk = 'critical' AND NOT p_sensitive", "Critical operation requested without historical precedent"),
-    (any_sql("low", X.DESTINATIONS), "Request involves suspicious external destinations"),
-    (any_sql("low", X.INJECTION), "Message contains prompt injection attempt"),
-    (f"({any_sql('low', X.URGENCY)} AND {any_sql('low', X.AUTHORITY)}) OR (polite > 8e-1 AND risk IN ('high', 'critical'))", "Social engineering escalation pattern detected"),
-    ("temporal > 9e-1", "Bot-like timing pattern detected"),
-    (f"{any_sql('low', X.RECON)} AND (NOT typical OR n_history < 50)", "APT-style reconnaissance behavior detected"),
-    ("since_h < 1", "Impossible velocity or location change detected"),
-    (f"NOT p_tech AND (code OR length(text) > 200 OR {any_sql('low', X.SOPHISTICATED)})", "Technical sophistication inconsistent with user history"),
+_FLAG_CONDITIONS = [
+    "semantic > 85e-2",
+    "risk = 'critical' AND NOT p_sensitive",
+    any_sql("low", X.DESTINATIONS),
+    any_sql("low", X.INJECTION),
+    f"({any_sql('low', X.URGENCY)} AND {any_sql('low', X.AUTHORITY)}) OR (polite > 8e-1 AND risk IN ('high', 'critical'))",
+    "temporal > 9e-1",
+    f"{any_sql('low', X.RECON)} AND (NOT typical OR n_history < 50)",
+    "since_h < 1",
+    f"NOT p_tech AND (code OR length(text) > 200 OR {any_sql('low', X.SOPHISTICATED)})",
 ]
-_MITIGATING = [
-    (any_sql("low", X.TOPIC_CHANGE), "User explicitly announced topic change"),
-    ("risk = 'low'", "Operation is low-risk information seeking"),
-    ("p_diversity > 6e-1", "User has established history of diverse topics"),
-    (any_sql("low", X.SECURITY), "User explicitly raised security concern"),
-    (f"(n_tokens < 30 AND question) OR {any_sql('low', X.CLARIFICATION)}", "Message is clarification or follow-up question"),
-    (f"p_diversity > 5e-1 AND (question OR {any_sql('low', X.EXPLORATION)}) AND risk IN ('low', 'medium')", "Behavior consistent with user's exploration patterns"),
+_MITIGATING_CONDITIONS = [
+    any_sql("low", X.TOPIC_CHANGE),
+    "risk = 'low'",
+    "p_diversity > 6e-1",
+    any_sql("low", X.SECURITY),
+    f"(n_tokens < 30 AND question) OR {any_sql('low', X.CLARIFICATION)}",
+    f"p_diversity > 5e-1 AND (question OR {any_sql('low', X.EXPLORATION)}) AND risk IN ('low', 'medium')",
 ]
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _list_sql(rules: list[tuple[str, str]]) -> str:
-    items = ", ".join(f"CASE WHEN {c} THEN '{t.replace(chr(39), chr(39) * 2)}' END" for c, t in rules)
-    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+    """The texts (SQL) whose condition holds, in order."""
+    return f"list_filter([{', '.join(f'CASE WHEN {c} THEN {t} END' for c, t in rules)}], lambda x: x IS NOT NULL)"
+
+
+_FLAGS = _list_sql([(c, _quoted(t)) for c, t in zip(_FLAG_CONDITIONS, detectors.RED_FLAGS, strict=True)])
+_MITIGATING = _list_sql([(c, _quoted(t)) for c, t in zip(_MITIGATING_CONDITIONS, detectors.MITIGATING, strict=True)])
+
+
+def _two(x: str) -> str:
+    return f"printf('%.2f', round({x}, 2))"
+
+
+def _sum_sql(parts: list[tuple[str, str, str]], calm: str) -> tuple[str, str]:
+    factors = _list_sql([(f"{c} > 0", f"{_quoted(f + ' (')} || {_two(c)} || ')'") for c, f, _ in parts])
+    said = _list_sql([(f"{c} > 0", _quoted(t)) for c, _, t in parts])
+    return f"CASE WHEN len({said}) > 0 THEN array_to_string({said}, '. ') || '.' ELSE {_quoted(calm)} END", factors
+
+
+_SAID = "CASE WHEN len({s}) > 0 THEN array_to_string({s}[1:2], '. ') || '.' ELSE '' END"
+
+
+def _first(text: str) -> str:
+    return _SAID.format(s=f"list_filter(list_transform(string_split({text}, '.'), lambda x: trim(x)), lambda x: x <> '')")
+
+
+_BANDS = explain.SEMANTIC_BANDS
+_SEM_REASON = "CASE " + " ".join(f"WHEN o >= {e}e0 THEN {_quoted(t)}" for e, t, _ in _BANDS) + f" ELSE {_quoted(explain.SEMANTIC_ELSE[0])} END"
+_SEM_FACTORS = _list_sql(
+    [
+        ("o >= 5e-1 AND o < 8e-1", _quoted(_BANDS[1][2])), ("o >= 2e-1 AND o < 5e-1", _quoted(_BANDS[2][2])), ("o < 2e-1", _quoted(explain.SEMANTIC_ELSE[1])), ("mismatch", _quoted(explain.SEMANTIC_MORE["mismatch"])),
+        ("seq > 1 AND o < 3e-1", _quoted(explain.SEMANTIC_MORE["midway"])), ("sem2 >= 85e-2 AND risk = 'critical'", _quoted(explain.SEMANTIC_MORE["critical"])),
+    ]
+)
+_LING_REASON, _LING_FACTORS = _sum_sql(explain.LINGUISTIC, explain.CALM["linguistic"])
+_TEMP_REASON, _TEMP_FACTORS = _sum_sql(explain.TEMPORAL, explain.CALM["temporal"])
+_RULE_TOLD = f"*, {_SEM_REASON} AS r_sem, {_SEM_FACTORS} AS f_sem, {_LING_REASON} AS r_lin, {_LING_FACTORS} AS f_lin, {_TEMP_REASON} AS r_tem, {_TEMP_FACTORS} AS f_tem"
+_BANDS_ML = explain.SEMANTIC_ML
+_Z = [("message_length", "(n_tokens - p_tokens) / greatest(p_lex_std * p_tokens, 1e0)"), ("lexical_diversity", "(lex - p_lex) / greatest(p_lex_std, 1e-2)"), ("formality", "(formality - p_formality) / greatest(p_formality_std, 1e-2)"), ("politeness", "(polite - p_polite) / greatest(p_polite_std, 1e-2)")]
+_ML_SEM_REASON = "CASE " + " ".join(f"WHEN sem_ml0 > {e}e0 THEN {_quoted(t)}" for e, t, _ in _BANDS_ML) + f" ELSE {_quoted(explain.SEMANTIC_ML_CALM)} END"
+_ML_SEM_FACTORS = _list_sql(
+    [
+        ("sem_ml0 > 3e-1", "'Cosine distance: ' || printf('%.3f', round(1 - cosine, 3))"), ("sem_ml0 > 8e-1", _quoted(_BANDS_ML[0][2])), ("sem_ml0 > 6e-1 AND sem_ml0 <= 8e-1", _quoted(_BANDS_ML[1][2])),
+        ("seq > 1 AND sem_ml0 > 5e-1", _quoted(explain.SEMANTIC_ML_MIDWAY)),
+    ]
+)
+_FAR = _list_sql([(f"abs({z}) > 2", f"'{n}: ' || {_two(f'abs({z})')} || ' standard deviations from mean'") for n, z in _Z])
+_DRIFT = "(1e0 / (1e0 + exp(-5e-1 * (distance - 3e0))))"
+_ML_LING_REASON = f"CASE WHEN {_DRIFT} > 7e-1 THEN replace({_quoted(explain.LINGUISTIC_ML[0])}, '%.2f', {_two('distance')}) WHEN {_DRIFT} > 4e-1 THEN replace({_quoted(explain.LINGUISTIC_ML[1])}, '%.2f', {_two('distance')}) ELSE {_quoted(explain.LINGUISTIC_ML[2])} END || CASE WHEN known_language THEN '.' ELSE {_quoted('. ' + explain.LINGUISTIC_ML[3] + '.')} END"
+_ML_LING_FACTORS = f"list_concat({_FAR}[1:3], CASE WHEN known_language THEN [] ELSE ['Language switch detected: ' || language || ' not in primary languages'] END)"
+_ML_TEMP_REASON = f"CASE WHEN temporal_ml > 7e-1 THEN {_quoted(explain.TEMPORAL_ML[0])} WHEN temporal_ml > 4e-1 THEN {_quoted(explain.TEMPORAL_ML[1])} ELSE {_quoted(explain.TEMPORAL_ML[2])} END"
+_ML_TOLD = f"*, {_ML_SEM_REASON} AS r_sem, {_ML_SEM_FACTORS} AS f_sem, {_ML_LING_REASON} AS r_lin, {_ML_LING_FACTORS} AS f_lin, {_ML_TEMP_REASON} AS r_tem"
+_TOP = "list_transform(list_filter(list_sort([(-semantic, 0, 'Semantic anomaly'), (-linguistic, 1, 'Linguistic anomaly'), (-temporal, 2, 'Temporal anomaly')])[1:2], lambda x: -x[1] > 3e-1), lambda x: x[3] || ' (score: ' || printf('%.2f', round(-x[1], 2)) || ')')"
+_OPERATION = "CASE risk " + " ".join(f"WHEN '{r}' THEN replace({_quoted(t)}, '%s', operation)" for r, t in explain.OPERATION.items()) + " END"
+_MEAN = "((semantic + linguistic + temporal) / 3e0)"
+_SUMMARY = f"""CASE WHEN {_MEAN} > 7e-1 THEN {_quoted(explain.SUMMARY[0])} WHEN {_MEAN} > 4e-1 THEN {_quoted(explain.SUMMARY[1])} ELSE {_quoted(explain.SUMMARY[2])} END
+  || CASE WHEN len(flags) > 0 THEN 'Detected ' || len(flags) || ' red flag(s) including suspicious indicators. ' WHEN len(mit) > 0 THEN 'Identified ' || len(mit) || ' mitigating factor(s) suggesting legitimate use. ' ELSE '' END
+  || CASE WHEN risk IN ('critical', 'high') THEN {_quoted(explain.SENSITIVE[0])} ELSE {_quoted(explain.SENSITIVE[1])} END"""
+
+
+def _told_sql(verdict: str, told: str) -> str:
+    """CTEs from a verdict to what is told of it; the last is ``told``."""
+    return f"""flagged AS (SELECT *, {_FLAGS} AS flags, {_MITIGATING} AS mit FROM {verdict}), reasoned AS (SELECT {told} FROM flagged),
+told AS (SELECT *, list_concat({_TOP}, flags[1:1])[1:3] AS top, {_first('r_sem')} AS s_sem, {_first('r_lin')} AS s_lin, {_first('r_tem')} AS s_tem, {_OPERATION} AS op, {_SUMMARY} AS summ FROM reasoned)"""
+
+
+_OUT = f"""id AS message_id, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)}, mechanism, confidence, risk_level, array_to_string(flags, '; ') AS red_flags, array_to_string(mit, '; ') AS mitigating,
+  array_to_string(top, '; ') AS primary_factors, array_to_string(f_sem, '; ') AS semantic_factors, array_to_string(f_lin, '; ') AS linguistic_factors, s_sem AS semantic_reasoning, s_lin AS linguistic_reasoning, s_tem AS temporal_reasoning,
+  op AS operation_risk_assessment, summ AS overall_summary"""
+
+
+def _slots(t: str) -> str:
+    return f"list_transform({words_sql(f'lower({t})')}, lambda w: CAST('0x' || substr(md5(w), 1, 2) AS INT) % {WIDTH})"
+
 
+#: Each message's cosine to its account's centroid: sums over words in place of vectors.
+_COSINE = f"""bag AS (SELECT id, account, slot, count(*)::DOUBLE AS c FROM (SELECT id, account, unnest({_slots('text')}) AS slot FROM cur) GROUP BY ALL),
+ranked AS (SELECT user_id, {_slots("array_to_string(ws, ' ')")} AS bins, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM hist WINDOW w AS (PARTITION BY user_id ORDER BY us, id)),
+cents AS (SELECT {key_sql('user_id')} AS account, slot, sum(CASE WHEN i = 1 THEN power(95e-2, n - 1) ELSE (1e0 - 95e-2) * power(95e-2, n - i) END) AS x FROM (SELECT user_id, unnest(bins) AS slot, i, n FROM ranked) GROUP BY ALL),
+have AS (SELECT DISTINCT {key_sql('user_id')} AS account FROM prof),
+dots AS (SELECT b.id, sum(b.c * coalesce(CASE WHEN h.account IS NULL THEN (b.slot = CAST('0x' || substr(md5('general'), 1, 2) AS INT) % {WIDTH})::INT::DOUBLE ELSE k.x END, 0)) AS dot, sqrt(sum(b.c * b.c)) AS norm, any_value(b.account) AS account, any_value(h.account) AS held
+  FROM bag b LEFT JOIN have h ON h.account = b.account LEFT JOIN cents k ON k.account = b.account AND k.slot = b.slot GROUP BY b.id),
+sizes AS (SELECT account, sqrt(sum(x * x)) AS size FROM cents GROUP BY account),
+cosines AS (SELECT id, greatest(-1e0, least(1e0, dot / (norm * CASE WHEN held IS NULL THEN 1e0 ELSE size END))) AS cosine FROM dots LEFT JOIN sizes USING (account)),
+learnt AS (SELECT f.*, coalesce(c.cosine, 0e0) AS cosine FROM facts f LEFT JOIN cosines c USING (id))"""
 
 _KEYWORDS = " + ".join(f"contains(lower(text), '{k}')::INT" for k in X.RISK_KEYWORDS)
 _RULES = [(f"({_KEYWORDS}) > 0", f"least(({_KEYWORDS}) * 15e-2, 4e-1)", f"'high_risk_keywords: ' || ({_KEYWORDS})")]
@@ -164,8 +266,11 @@ _ML_STEPS = [
     ("hour_p", "CASE WHEN len(hrs) = 0 THEN 1 / 24e0 ELSE list_sum(list_transform(hrs, lambda h: exp(-power(least(abs(h - hour), 24 - abs(h - hour))::DOUBLE, 2) / 8e0))) / len(hrs) END"),
     ("linguistic_ml", L.LINGUISTIC_ML),
     *L.TEMPORAL_ML,
+    *L.SEMANTIC_ML,
 ]
-_M, LEARNED = _chain("facts", _ML_STEPS, "m")
+_M, LEARNED = _chain("learnt", _ML_STEPS, "m")
+_CONFIG = "'medium' AS sensitivity, true AS use_semantic, true AS use_linguistic, true AS use_temporal, true AS overrides"
+_MV, LEARNED_VERDICT = _chain(f"(SELECT *, semantic_ml AS semantic, linguistic_ml AS linguistic, temporal_ml AS temporal, {_CONFIG} FROM {LEARNED})", _VERDICT, "y")
 _SET = f"""(SELECT c.*, s.config_id, s.sensitivity_level AS sensitivity, coalesce(s.enable_semantic_scoring, true) AS use_semantic, coalesce(s.enable_linguistic_scoring, true) AS use_linguistic,
   coalesce(s.enable_temporal_scoring, true) AS use_temporal, coalesce(s.overrides_enabled, true) AS overrides FROM {COMPONENTS} c CROSS JOIN system_configs s)"""
 _S, SWEPT = _chain(_SET, _VERDICT, "w")
@@ -175,10 +280,10 @@ SQL = {
     "rule_based_detect": f"""WITH {_CURRENT}, rated AS (SELECT id, text, {_RECENT.format(s=60)} AS recent FROM cur),
 summed AS (SELECT id, least({' + '.join(f'CASE WHEN {c} THEN {s} ELSE 0e0 END' for c, s, _ in _RULES)}, 1e0) AS score, list_filter([{', '.join(f'CASE WHEN {c} THEN {n} END' for c, _, n in _RULES)}], lambda x: x IS NOT NULL) AS rules FROM rated)
 SELECT id AS message_id, round(score, 6) AS score, score > 5e-1 AS is_anomaly, len(rules) AS n_rules, array_to_string(rules, '; ') AS rules FROM summed""",
-    "evaluate_rule": f"""WITH {EVALUATED_SQL}, told AS (SELECT *, {_list_sql(_FLAGS)} AS flags, {_list_sql(_MITIGATING)} AS mit FROM {VERDICT})
-SELECT id AS message_id, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)}, mechanism, confidence, risk_level, array_to_string(flags, '; ') AS red_flags, array_to_string(mit, '; ') AS mitigating,
-  least(3, least(2, (semantic > 3e-1)::INT + (linguistic > 3e-1)::INT + (temporal > 3e-1)::INT) + least(1, len(flags))) AS n_factors FROM told""",
-    "evaluate_ml": f"WITH {FACTS_SQL}, {_M} SELECT id AS message_id, {', '.join(f'round({c}, 6) AS {c}' for c in ('distance', 'linguistic_ml', 'hour_p', 'a_hour', 'a_gap', 'a_frequency', 'a_duration', 'temporal_ml'))} FROM {LEARNED}",
+    "evaluate_rule": f"""WITH {EVALUATED_SQL}, {_told_sql(VERDICT, _RULE_TOLD)} SELECT {_OUT}, array_to_string(f_tem, '; ') AS temporal_factors, n_history >= 20 AS sufficient_history,
+  n_typical_all >= 3 AND p_lex_std < 2e-1 AND p_formality_std < 2e-1 AND n_hours >= 3 AS clear_patterns, p_diversity BETWEEN 3e-1 AND 8e-1 AND p_tokens BETWEEN 10 AND 500 AND p_frequency >= 1 AS high_signal_quality FROM told""",
+    "evaluate_ml": f"""WITH {FACTS_SQL}, {_COSINE}, {_M}, {_MV}, {_told_sql(LEARNED_VERDICT, _ML_TOLD)}
+SELECT {_OUT}, {', '.join(f'round({c}, 6) AS {c}' for c in ('cosine', 'distance', 'hour_p', 'a_hour', 'a_gap', 'a_frequency', 'a_duration'))} FROM told""",
     "composite_sweep": f"""WITH {FACTS_SQL}, {_C1}, {_S} SELECT config_id, count(*) AS n_messages, round(avg(score), 6) AS mean_score, CAST(count_if(risk_level = 'HIGH_RISK') AS BIGINT) AS n_high, CAST(count_if(risk_level = 'SUSPICIOUS') AS BIGINT) AS n_suspicious,
   CAST(count_if(mechanism = 'normal_override') AS BIGINT) AS n_normal_override, CAST(count_if(starts_with(mechanism, 'override_')) AS BIGINT) AS n_high_override FROM {SWEPT} GROUP BY config_id""",
 }

@@ -11,3 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [table(spark, folder, n) for n in names]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as there are cores, where its files give fewer: for costly work on small files.
+
+    Larger inputs have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

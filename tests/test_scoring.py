@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -5,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlens.functions import ladders as L
-from driftlens.operators import detectors, forest, metrics, profiles, scoring, vectors
+from driftlens.functions.encoders import hashed_bag
+from driftlens.operators import detectors, explain, forest, metrics, ordered, profiles, scoring, vectors
 from driftlens.sources import history
 from driftlens.streaming import online
 
@@ -66,8 +68,65 @@ def test_evaluate(messages, records, users):
     assert got[3]["n_history"] == 0
     assert got[3]["confidence"] == "low"
     assert scoring.evaluate(messages(), profiles.build(records(), users())).count() == 0
-    learned = scoring.learned(scoring.facts(scoring.with_profile(scoring.current(m), profiles.build(r, users())))).collect()
-    assert all(0.37 < x["temporal_ml"] < 0.87 and x["linguistic_ml"] > 0.18 for x in learned)
+    learned = scoring.evaluate_learned(m, profiles.build(r, users(), hashed_bag)).collect()
+    assert all(0.37 < x["temporal"] < 0.87 and x["linguistic"] > 0.18 and 0 <= x["semantic"] <= 0.6 for x in learned)
+    by_id = {x["id"]: x for x in learned}
+    assert by_id[1]["cosine"] == pytest.approx(1.0)  # its words are those of the whole history
+    assert by_id[3]["cosine"] == 0.0
+    told = explain.as_json(explain.result(scoring.evaluate(m, profiles.build(r, users())), stamped=True)).collect()
+    made = {t["id"]: json.loads(t["json"]) for t in told}
+    assert made[2]["anomaly_score"] == 1.0
+    assert made[2]["rationale"]["operation_risk_assessment"] == "Operation is critical (read) and requires heightened scrutiny."
+    assert made[3]["metadata"]["cold_start"]
+
+
+def test_order_of_time_without_one_task_per_account(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"a{int(k)}", int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 9, 400) * 1_800_000_000 + rng.integers(0, 90, 400) * 1_000_000, strict=True))] + [("one", 5, 900)]
+    df = spark.createDataFrame(rows, "account string, us long, id long")
+    for got in (ordered.with_previous(df, "account", ["us", "id"], ["id"]).collect(),):
+        assert len(got) == len(rows)
+        for r in got:
+            earlier = sorted((t, i) for a, t, i in rows if a == r["account"] and (t, i) < (r["us"], r["id"]))
+            assert (r["before"]["id"] if r["before"] else None) == (earlier[-1][1] if earlier else None)
+    for r in ordered.with_rank(df, "account", ["us", "id"]).collect():
+        same = sorted((t, i) for a, t, i in rows if a == r["account"])
+        assert (r["i"], r["n"]) == (same.index((r["us"], r["id"])) + 1, len(same))
+    for r in ordered.with_recent(df, "account", "us", 60, "recent").collect():
+        assert r["recent"] == sum(a == r["account"] and r["us"] - 60_000_000 <= t <= r["us"] for a, t, _ in rows)
+
+
+@pytest.mark.parametrize(
+    ("values", "mechanism", "score"),
+    [
+        ({"semantic": 0.86, "risk": "critical", "p_sensitive": True}, "override_1", 1.0), ({"semantic": 0.85, "risk": "critical", "p_sensitive": True}, "composite_score", 0.34), ({"temporal": 0.91}, "override_2", 1.0),
+        ({"temporal": 0.9}, "composite_score", 0.225), ({"risk": "critical"}, "override_3", 1.0), ({"ato": True}, "override_4", 1.0), ({"context_change": True, "semantic": 0.8}, "normal_override", 0.15),
+        ({"semantic": 0.1, "linguistic": 0.1, "temporal": 0.1}, "normal_override", 0.1), ({"semantic": 0.6, "linguistic": 0.4, "temporal": 0.2, "sensitivity": "high"}, "composite_score", 0.42),
+        ({"semantic": 1.0, "linguistic": 1.0, "temporal": 0.9}, "composite_score", 0.975), ({"semantic": 0.9, "use_semantic": False, "linguistic": 0.1, "temporal": 0.1}, "normal_override", 0.15),
+        ({"temporal": 0.95, "overrides": False}, "composite_score", 0.2375),
+    ],
+)
+def test_composite_by_hand(spark, values, mechanism, score):
+    """Expected values worked out by hand from the documented weights and rules."""
+    base = {"semantic": 0.0, "linguistic": 0.0, "temporal": 0.0, "risk": "low", "p_sensitive": False, "ato": False, "context_change": False, "n_tokens": 80.0, "formality": 0.5, "question": False}
+    base |= {"n_history": 50, "n_typical_all": 5, "p_lex_std": 0.1, "p_formality_std": 0.1, "n_hours": 6, "p_diversity": 0.5, "p_tokens": 20.0, "p_frequency": 3.0} | values
+    r = scoring.composite(spark.createDataFrame([tuple(base.values())], list(base))).first()
+    assert (r["mechanism"], r["score"]) == (mechanism, pytest.approx(score))
+
+
+@pytest.mark.parametrize(("part", "values", "want"), [
+    ("l_length", {"p_lex_std": 0.0, "n_tokens": 31.0, "p_tokens": 20.0}, 0.15), ("l_length", {"p_lex_std": 0.0, "n_tokens": 30.0, "p_tokens": 20.0}, 0.0), ("l_length", {"p_lex_std": 10.0, "n_tokens": 50.0, "p_tokens": 20.0}, 0.15),
+    ("l_lexical", {"lex": 0.9, "p_lex": 0.5, "p_lex_std": 0.1}, 0.3), ("l_lexical", {"lex": 0.75, "p_lex": 0.5, "p_lex_std": 0.1}, 0.2), ("l_lexical", {"lex": 0.66, "p_lex": 0.5, "p_lex_std": 0.1}, 0.1),
+    ("l_formality", {"formality": 0.1, "p_formality": 0.6}, 0.2), ("l_formality", {"formality": 0.25, "p_formality": 0.6}, 0.15), ("l_polite", {"polite": 0.1, "p_polite": 0.6}, 0.1), ("l_polite", {"polite": 1.0, "p_polite": 0.6}, 0.15),
+    ("l_language", {"known_language": False, "n_languages": 1}, 0.4), ("l_language", {"known_language": False, "n_languages": 2}, 0.2), ("l_technical", {"technical": True, "p_technical": False}, 0.2), ("l_technical", {"technical": False, "p_technical": True}, 0.05),
+    ("t_hour", {"typical": False, "n_hours": 6, "hour_known": False, "hour": 3}, 0.3), ("t_hour", {"typical": False, "n_hours": 1, "hour_known": False, "hour": 12}, 0.2), ("t_hour", {"typical": False, "n_hours": 6, "hour_known": False, "hour": 12}, 0.1),
+    ("t_velocity", {"since_h": 0.4}, 0.6), ("t_velocity", {"since_h": 0.9}, 0.5), ("t_velocity", {"since_h": 1.9}, 0.4), ("t_velocity", {"since_h": 2.0}, 0.0), ("t_duration", {"seq": 31, "p_per_session": 10.0}, 0.3),
+    ("t_duration", {"seq": 21, "p_per_session": 10.0}, 0.1), ("t_duration", {"seq": 51, "p_per_session": 30.0}, 0.3), ("t_bot", {"gap": 1.0, "p_gap": 30.0}, 0.3), ("t_bot", {"gap": 4.0, "p_gap": 30.0}, 0.25), ("t_bot", {"gap": 8.0, "p_gap": 8.5}, 0.1),
+    ("t_frequency", {"since_h": 2.0, "p_frequency": 7.0}, 0.3), ("t_frequency", {"since_h": 4320.0, "p_frequency": 7.0}, 0.2),
+])
+def test_parts_by_hand(spark, part, values, want):
+    """The bands of the linguistic and temporal parts, as documented."""
+    assert ladder(spark, (L.LINGUISTIC | L.TEMPORAL)[part], **values) == pytest.approx(want)
 
 
 def test_profile_parts(records, users):
@@ -111,13 +170,17 @@ def test_rank_measures(spark):
     one = metrics.confusion(df.where("should_flag")).first()
     assert (one["tp"], one["fn"]) == (0, 0)
     assert metrics.roc_auc(df.limit(0)).first()["auc"] == 0.5
+    assert metrics.average_precision(df.where("should_flag")).first()["average_precision"] == 0.5
 
 
 def test_per_class(spark):
     rows = [("role_injection", None, True, 0.9), ("exfiltration", "late", True, 0.4), (None, "", False, 0.2), (" Benign", None, False, 0.8)]
     df = spark.createDataFrame(rows, "anomaly_type string, attack_phase string, should_flag boolean, score double")
     got = {(r["key"], r["cls"]): r for r in metrics.per_class(df).collect()}
-    assert ("anomaly_type", "role_injection") in got
+    assert got["anomaly_type", "role_injection"]["support"] == 1
+    assert got["anomaly_type", "benign"]["support"] == 2
+    assert got["attack_phase", "benign"]["support"] == 3
+    assert got["attack_phase", "late"]["recall"] == 0
     assert ("anomaly_type", "benign") in got
 
 

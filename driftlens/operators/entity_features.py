@@ -1,5 +1,8 @@
 """Problem 2: one row per account with counts, recency and totals for every event type.
 
+``apply`` is the operator: state, known versions and a batch of deliveries in, the new state and versions out. A batch whose
+deliveries come later than those known costs what it holds itself; the state of all deliveries is the one that starts from nothing.
+
 Features are kept by signed deltas. A delivery of a message inserts it (+1); a later delivery of the same
 message that differs retracts the earlier version (-1) and inserts its own. Counts and totals are sums of
 signed values, so new deltas are added to an old state without reading old events; of these only the current version of
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.accounts import account_key, account_names
 from driftlens.functions.timestamps import iso_instant
+from driftlens.storage import cut
 
 #: The risk levels that count as such.
 RISKS = ("low", "medium", "high", "critical")
@@ -49,11 +53,14 @@ def deliveries(messages: DataFrame) -> DataFrame:
     ).where(F.col("event_id").isNotNull())
 
 
+#: What a version of an event is told apart by, after its arrival.
+VERSION = ["account", "event_type", "at", "chars"]
+
+
 def current(delivered: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The version of each event that counts, of ``delivered`` and of those ``known`` before; in the form of ``deliveries``."""
-    fields = ["version", "account", "event_type", "at", "chars"]
     rows = delivered if known is None else delivered.unionByName(known)
-    return rows.groupBy("event_id").agg(F.max(F.struct(*fields)).alias("v")).select("event_id", "v.*")
+    return rows.groupBy("event_id").agg(F.max(F.struct("version", *VERSION)).alias("v")).select("event_id", "v.*")
 
 
 def event_deltas(delivered: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -137,7 +144,7 @@ def settle(state: DataFrame, deltas: DataFrame) -> DataFrame:
     Only the touched pairs are joined back to their deltas; what survives of them is aggregated by event first
     and by pair then, each with map-side combination.
     """
-    hit = state.where(touched(state)).select(*KEYS)
+    hit = cut(state.where(touched(state)).select(*KEYS), "touched")  # its size decides how it is joined
     alive = (
         deltas.join(hit, KEYS, "left_semi")
         .groupBy(*KEYS, "event_id", "at")
@@ -156,12 +163,52 @@ def settle(state: DataFrame, deltas: DataFrame) -> DataFrame:
     )
 
 
+def repeated(messages: DataFrame, event_id: str = "message_id") -> DataFrame:
+    """``(event_id)``: the events that are delivered more than once; only ids are read and shuffled. Written, so that its size is known."""
+    counts = messages.where(F.col(event_id).isNotNull()).groupBy(F.col(event_id).alias("event_id")).agg(F.count(F.lit(1)).alias("n"))
+    return cut(counts.where("n > 1").select("event_id"), "repeated")
+
+
+def batch_deltas(messages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``event_deltas`` of a batch, written once, as both the sums and the extremes are made of them.
+
+    An event that is delivered once, and that no earlier batch knows, inserts itself: only the others are shuffled by event.
+    """
+    again = repeated(messages)
+    if known is not None:
+        ids = messages.where("message_id IS NOT NULL").select(F.col("message_id").alias("event_id"))
+        again = cut(again.unionByName(known.select("event_id").join(ids, "event_id", "left_semi")).distinct(), "repeated")
+    rows = deliveries(messages)
+    once = rows.join(again, "event_id", "left_anti").where("account IS NOT NULL AND at IS NOT NULL").select("event_id", *VERSION, F.lit(1).cast("long").alias("sign"))
+    more = event_deltas(rows.join(again, "event_id", "left_semi"), None if known is None else known.join(again, "event_id", "left_semi"))
+    return cut(once.unionByName(more.select(*once.columns)), "deltas")
+
+
+def apply(state: DataFrame | None, known: DataFrame | None, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, versions) after a batch of messages.
+
+    ``state`` has ``account, event_type, n, total_chars, first, last`` of each pair, ``known`` the current version of each event (as
+    ``deliveries``). A pair whose extreme is retracted is worked out again from its current versions; all others from sums alone.
+    """
+    deltas = batch_deltas(messages, known)
+    added = fold(deltas)
+    if state is not None:
+        gone = [F.lit(None).cast(dict(added.dtypes)[c]).alias(c) for c in ("first_gone", "last_gone")]
+        added = merge(state.select(*KEYS, "n", "total_chars", "first", "last", *gone), added)
+    added = cut(added, "state")
+    versions = current(deliveries(messages), known)
+    source = deltas if known is None else cut(versions, "versions").where("account IS NOT NULL AND at IS NOT NULL").withColumn("sign", F.lit(1).cast("long"))
+    return settle(added, source), versions
+
+
+def named(state: DataFrame, messages: DataFrame, users: DataFrame) -> DataFrame:
+    """A state with the account's id in results in place of its key."""
+    return state.join(account_names(messages, users), "account").select(F.col("account_id").alias("user_id"), "event_type", "n", "total_chars", "first", "last")
+
+
 def features(messages: DataFrame, users: DataFrame) -> DataFrame:
     """``(user_id, event_type, n, total_chars, first, last)`` for all accounts in ``messages``."""
-    deltas = event_deltas(deliveries(messages))
-    state = settle(fold(deltas), deltas)
-    names = account_names(messages, users)
-    return state.join(names, "account").select(F.col("account_id").alias("user_id"), "event_type", "n", "total_chars", "first", "last")
+    return named(apply(None, None, messages)[0], messages, users)
 
 
 def feature_table(messages: DataFrame, users: DataFrame) -> DataFrame:

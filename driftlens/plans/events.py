@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlens.operators import entity_features, sessions
 from driftlens.sources.tables import tables
+from driftlens.storage import cut
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +28,16 @@ def p2_feature_table(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_maintained(spark: SparkSession, folder: str) -> DataFrame:
+    """The state after two batches, split at an arrival time in the middle, the second applied to the state of the first."""
+    messages, users = tables(spark, folder, "messages", "users")
+    half = messages.agg(F.percentile_approx(F.unix_micros("ingested_at"), 0.5)).first()[0]
+    early = F.coalesce(F.unix_micros("ingested_at") <= F.lit(half), F.lit(True))
+    state, known = entity_features.apply(None, None, messages.where(early))
+    state, _ = entity_features.apply(cut(state, "state"), cut(known, "versions"), messages.where(~early))
+    return entity_features.named(state, messages, users).select("user_id", "event_type", F.col("n").alias("n_messages"), F.col("total_chars").alias("n_chars"), F.col("first.event_id").alias("first_message_id"), F.col("last.event_id").alias("last_message_id"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.p4_found(*tables(spark, folder, "messages", "message_records", "users"))
 
@@ -48,7 +59,7 @@ def p4_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_feature_table, p4_found, p4_sessions)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_feature_table, p2_maintained, p4_found, p4_sessions)}
 
 # The account key and the instant, in SQL. RE2 has no \p{Cf} list of its own that differs, so the same classes serve.
 _WIDE = "".join(chr(c) for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0xFF0D, 0xFF1A])
@@ -111,6 +122,8 @@ SELECT account_id AS user_id, event_type, first_message_id, last_message_id FROM
 SELECT account_id AS user_id, CAST(sum(n) AS BIGINT) AS n_messages, CAST(sum(chars) AS BIGINT) AS n_chars, min(first_us) AS first_us, max(last_us) AS last_us,
   array_to_string(list_sort(list(event_type || '=' || n)), ',') AS by_type
 FROM per_pair JOIN names USING (account) GROUP BY account_id""",
+    "p2_maintained": f"""WITH {_LATEST}, {names_sql('SELECT user_id FROM messages')}, {_PER_PAIR}
+SELECT account_id AS user_id, event_type, n AS n_messages, CAST(chars AS BIGINT) AS n_chars, first_message_id, last_message_id FROM per_pair JOIN names USING (account)""",
     "p4_found": f"""WITH {_LATEST}, {names_sql('SELECT user_id FROM messages UNION ALL SELECT user_id FROM message_records')}, {_EVENTS},
 found AS ({_SESSIONS.format(s=1800)})
 SELECT record_set, account_id AS user_id, first_id, last_id FROM found JOIN names USING (account)""",

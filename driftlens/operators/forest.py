@@ -10,11 +10,13 @@ all scores are 0.5. Empty tables give empty results.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.storage import cut
@@ -180,24 +182,87 @@ def _even(rows: DataFrame, id_: str) -> DataFrame:
     return rows.select(id_, F.lit(0.5).alias("score"), F.lit(False).alias("is_anomaly"))
 
 
-def isolation_forest(rows: DataFrame, id_: str, vector: str, trees: int = 100, per_tree: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """``(id, score, is_anomaly)``: the shorter the paths that isolate a vector, the nearer to 1."""
+@dataclass
+class Model:
+    """A fitted detector: arrays by name, the width of its vectors, and the centre, spread and edge of the raw values it was fitted on."""
+
+    kind: str
+    arrays: dict[str, np.ndarray]
+    width: int
+    centre: float = 0.0
+    spread: float = 1.0
+    edge: float = 0.0
+
+    def raw(self, v: np.ndarray) -> np.ndarray:
+        a = self.arrays
+        z = (v - a["mean"]) / a["sd"]
+        if self.kind == "forest":
+            trees = [{k: a[f"{k}{i}"] for k in ("dim", "cut", "left", "right", "depth")} for i in range(int(a["trees"]))]
+            return -(2.0 ** (-path_lengths(trees, z) / float(a["unit"])))
+        if self.kind == "components":
+            return ((z - z @ a["basis"].T @ a["basis"]) ** 2).mean(axis=1)
+        h, n = z, int(a["layers"])
+        for j in range(n):
+            h = h @ a[f"w{j}"] + a[f"b{j}"]
+            if j < n - 1:
+                h = np.maximum(h, 0)
+        return ((z - h) ** 2).mean(axis=1)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the model as a table of one row."""
+        held = io.BytesIO()
+        np.savez(held, **self.arrays)
+        row = (self.kind, bytearray(held.getvalue()), self.width, float(self.centre), float(self.spread), float(self.edge))
+        spark.createDataFrame([row], "kind string, arrays binary, width int, centre double, spread double, edge double").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        r = spark.read.parquet(path).first()
+        with np.load(io.BytesIO(bytes(r["arrays"]))) as held:
+            return Model(r["kind"], dict(held), r["width"], r["centre"], r["spread"], r["edge"])
+
+
+def _settled(model: Model, rows: DataFrame, id_: str, vector: str, contamination: float | None) -> tuple[Model, DataFrame]:
+    """The model with the centre, spread and edge of its raw values over all rows, and these values."""
+    valued = _raw(rows, id_, vector, model.raw, model.width)
+    model.centre, model.spread = _spread(valued)
+    model.edge = model.centre if contamination is None else quantile(valued, "value", contamination)
+    return model, valued
+
+
+def predict(model: Model | None, rows: DataFrame, id_: str, vector: str) -> DataFrame:
+    """``(id, score, is_anomaly)`` of any rows by a fitted model; 0.5 for all without one."""
+    return _even(rows, id_) if model is None else _verdict(model, _raw(rows, id_, vector, model.raw, model.width), id_)
+
+
+def _verdict(model: Model, valued: DataFrame, id_: str) -> DataFrame:
+    return _scores(valued, id_, model.centre, model.spread, higher=model.kind != "forest", edge=model.edge)
+
+
+def _forest(rows: DataFrame, id_: str, vector: str, trees: int, per_tree: int, contamination: float, seed: int) -> tuple[Model, DataFrame] | None:
     good, width = able(rows, vector)
     x = sample(good, id_, vector)
     if len(x) < 2:
-        return _even(rows, id_)
+        return None
     mean, sd = moments(good, vector)
     z = (x - mean) / sd
     rng = np.random.default_rng(seed)
     n = min(per_tree, len(z))
     made = [grow(z[rng.choice(len(z), n, replace=False)], rng, int(np.ceil(np.log2(max(n, 2))))) for _ in range(trees)]
-    unit = float(_average_path(n))
+    arrays = {f"{k}{i}": v for i, t in enumerate(made) for k, v in t.items()}
+    arrays |= {"mean": mean, "sd": sd, "unit": np.array(float(_average_path(n))), "trees": np.array(trees)}
+    return _settled(Model("forest", arrays, width), rows, id_, vector, contamination)
 
-    def raw(v: np.ndarray) -> np.ndarray:
-        return -(2.0 ** (-path_lengths(made, (v - mean) / sd) / unit))
 
-    valued = _raw(rows, id_, vector, raw, width)
-    return _scores(valued, id_, *_spread(valued), higher=False, edge=quantile(valued, "value", contamination))
+def fit_forest(rows: DataFrame, id_: str, vector: str, trees: int = 100, per_tree: int = 256, contamination: float = 0.1, seed: int = 42) -> Model | None:
+    made = _forest(rows, id_, vector, trees, per_tree, contamination, seed)
+    return made and made[0]
+
+
+def isolation_forest(rows: DataFrame, id_: str, vector: str, trees: int = 100, per_tree: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
+    """``(id, score, is_anomaly)``: the shorter the paths that isolate a vector, the nearer to 1."""
+    made = _forest(rows, id_, vector, trees, per_tree, contamination, seed)
+    return _verdict(*made, id_) if made else _even(rows, id_)
 
 
 def reconstruction(rows: DataFrame, id_: str, vector: str, k: int = 16) -> DataFrame:
@@ -207,14 +272,7 @@ def reconstruction(rows: DataFrame, id_: str, vector: str, k: int = 16) -> DataF
         return _even(rows, id_)
     mean, sd = moments(good, vector)
     basis = np.linalg.eigh(covariance(good, vector, mean, sd))[1][:, ::-1].T[:k]
-
-    def raw(v: np.ndarray) -> np.ndarray:
-        w = (v - mean) / sd
-        return ((w - w @ basis.T @ basis) ** 2).mean(axis=1)
-
-    valued = _raw(rows, id_, vector, raw, width)
-    m, s = _spread(valued)
-    return _scores(valued, id_, m, s, higher=True, edge=m)
+    return _verdict(*_settled(Model("components", {"mean": mean, "sd": sd, "basis": basis}, width), rows, id_, vector, None), id_)
 
 
 def train_autoencoder(z: np.ndarray, layers: tuple[int, ...], epochs: int, rate: float, batch: int, dropout: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -254,23 +312,23 @@ def train_autoencoder(z: np.ndarray, layers: tuple[int, ...], epochs: int, rate:
     return net
 
 
-def autoencoder(rows: DataFrame, id_: str, vector: str, layers: tuple[int, ...] = (128, 64, 16), epochs: int = 20, rate: float = 1e-3, batch: int = 32, dropout: float = 0.2, seed: int = 42, fit_rows: int = 2000) -> DataFrame:
-    """``(id, score, is_anomaly)`` from the error of a small network's rebuild, its weights fitted on at most ``fit_rows`` rows."""
+def _network(rows: DataFrame, id_: str, vector: str, layers: tuple[int, ...], epochs: int, rate: float, batch: int, dropout: float, seed: int, fit_rows: int) -> tuple[Model, DataFrame] | None:
     good, width = able(rows, vector)
     if len(good.select(F.lit(1)).head(2)) < 2:
-        return _even(rows, id_)
+        return None
     x = sample(good, id_, vector, fit_rows)
     mean, sd = moments(good, vector)
     net = train_autoencoder((x - mean) / sd, layers, epochs, rate, batch, dropout, seed)
+    arrays = {"mean": mean, "sd": sd, "layers": np.array(len(net))} | {f"w{j}": w for j, (w, _) in enumerate(net)} | {f"b{j}": b for j, (_, b) in enumerate(net)}
+    return _settled(Model("network", arrays, width), rows, id_, vector, None)
 
-    def raw(v: np.ndarray) -> np.ndarray:
-        z = h = (v - mean) / sd
-        for j, (w, b) in enumerate(net):
-            h = h @ w + b
-            if j < len(net) - 1:
-                h = np.maximum(h, 0)
-        return ((z - h) ** 2).mean(axis=1)
 
-    valued = _raw(rows, id_, vector, raw, width)
-    m, s = _spread(valued)
-    return _scores(valued, id_, m, s, higher=True, edge=m)
+def fit_autoencoder(rows: DataFrame, id_: str, vector: str, layers: tuple[int, ...] = (128, 64, 16), epochs: int = 20, rate: float = 1e-3, batch: int = 32, dropout: float = 0.2, seed: int = 42, fit_rows: int = 2000) -> Model | None:
+    made = _network(rows, id_, vector, layers, epochs, rate, batch, dropout, seed, fit_rows)
+    return made and made[0]
+
+
+def autoencoder(rows: DataFrame, id_: str, vector: str, layers: tuple[int, ...] = (128, 64, 16), epochs: int = 20, rate: float = 1e-3, batch: int = 32, dropout: float = 0.2, seed: int = 42, fit_rows: int = 2000) -> DataFrame:
+    """``(id, score, is_anomaly)`` from the error of a small network's rebuild, its weights fitted on at most ``fit_rows`` rows."""
+    made = _network(rows, id_, vector, layers, epochs, rate, batch, dropout, seed, fit_rows)
+    return _verdict(*made, id_) if made else _even(rows, id_)

@@ -72,36 +72,49 @@ def per_class(rows: DataFrame) -> DataFrame:
 RANGES = 4096
 
 
-def _by_score(rows: DataFrame, falling: bool) -> DataFrame:
-    """By distinct score: positives, negatives, and the sums of both before it (``pos_before``, ``neg_before``) in rising or falling order."""
+def _by_score(rows: DataFrame, falling: bool, keys: list[str]) -> DataFrame:
+    """By keys and distinct score: positives, negatives, and the sums of both before it (``pos_before``, ``neg_before``) in rising or falling order."""
     y = F.coalesce(F.col("should_flag"), F.lit(False)).cast("long")
-    sums = rows.where(F.col("score").isNotNull()).groupBy("score").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    sums = rows.where(F.col("score").isNotNull()).groupBy(*keys, "score").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     # Scores lie between 0 and 1; any others fall into the first or the last range.
     place = F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor(F.col("score") * RANGES)))
     sums = sums.withColumn("_r", (RANGES - 1 - place) if falling else place).withColumn("_s", -F.col("score") if falling else F.col("score"))
-    each = sums.groupBy("_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    up = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
-    before = each.select("_r", F.coalesce(F.sum("_p").over(up), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_n"))
-    within = Window.partitionBy("_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    each = sums.groupBy(*keys, "_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    up = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows each
+    before = each.select(*keys, "_r", F.coalesce(F.sum("_p").over(up), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_n"))
+    within = Window.partitionBy(*keys, "_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     inner = {f"{c}_before": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in ("pos", "neg")}
-    return sums.withColumns(inner).join(F.broadcast(before), "_r").select("score", "pos", "neg", (F.col("pos_before") + F.col("_p")).alias("pos_before"), (F.col("neg_before") + F.col("_n")).alias("neg_before"))
+    return sums.withColumns(inner).join(before, [*keys, "_r"]).select(*keys, "score", "pos", "neg", (F.col("pos_before") + F.col("_p")).alias("pos_before"), (F.col("neg_before") + F.col("_n")).alias("neg_before"))
 
 
-def roc_auc(rows: DataFrame) -> DataFrame:
+def _auc() -> Column:
+    both = (F.coalesce("p", F.lit(0)) > 0) & (F.coalesce("n", F.lit(0)) > 0)
+    return F.when(both, F.col("u") / (F.col("p").cast("double") * F.col("n"))).otherwise(0.5)
+
+
+def _precision() -> Column:
+    both = (F.coalesce("p", F.lit(0)) > 0) & (F.coalesce("n", F.lit(0)) > 0)
+    return F.when(both, F.col("s") / F.col("p")).otherwise(0.5)
+
+
+def roc_auc(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The chance that a positive has a higher score than a negative, ties counting half; 0.5 with one class."""
-    won = _by_score(rows, falling=False)
-    return won.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u")).select(
-        F.coalesce(F.col("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.col("n"), F.lit(0)).alias("n_neg"),
-        F.when((F.coalesce("p", F.lit(0)) == 0) | (F.coalesce("n", F.lit(0)) == 0), 0.5).otherwise(F.col("u") / (F.col("p").cast("double") * F.col("n"))).alias("auc"),
-    )
+    keys = keys or []
+    won = _by_score(rows, False, keys).groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u"))
+    return won.select(*keys, F.coalesce(F.col("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.col("n"), F.lit(0)).alias("n_neg"), _auc().alias("auc"))
 
 
-def average_precision(rows: DataFrame) -> DataFrame:
+def average_precision(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The sum over thresholds of the gain in recall times precision; 0.5 with one class."""
-    c = _by_score(rows, falling=True)
+    keys = keys or []
+    c = _by_score(rows, True, keys)
     tp, every = F.col("pos_before") + F.col("pos"), F.col("pos_before") + F.col("pos") + F.col("neg_before") + F.col("neg")
-    both = (F.coalesce("p", F.lit(0)) > 0) & (F.coalesce("n", F.lit(0)) > 0)
-    return c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (tp / every)).alias("s")).select(F.when(both, F.col("s") / F.col("p")).otherwise(0.5).alias("average_precision"))
+    return c.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (tp / every)).alias("s")).select(*keys, _precision().alias("average_precision"))
+
+
+def rank_measures(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Both, by ``keys``."""
+    return roc_auc(rows, keys).select(*keys, "auc").join(average_precision(rows, keys), keys)
 
 
 def attribution(rows: DataFrame) -> DataFrame:

@@ -98,11 +98,12 @@ _N = len(X.HAZARDS)
 _ABUSE = [n for n, *_ in X.HAZARDS].index("S2_account_abuse")
 _CATS = ", ".join([*(f"CASE WHEN h{i} > 0 THEN '{n}' END" for i, (n, *_) in enumerate(X.HAZARDS)), f"CASE WHEN ops > 0 AND h{_ABUSE} = 0 THEN 'high_risk_operation' END"])
 _CATMAP = ", ".join([*(f"CASE WHEN h{i} > 0 THEN '{n}=' || printf('%.3f', round(s{i}, 3)) END" for i, (n, *_) in enumerate(X.HAZARDS)), f"CASE WHEN ops > 0 AND h{_ABUSE} = 0 THEN 'high_risk_operation=' || printf('%.3f', round(15e-2 * ops, 3)) END"])
-_SAFETY = f"""WITH hits AS (SELECT message_id, t, {_HITS}, ({count_sql('t', X.HIGH_RISK_OPS)}) AS ops FROM (SELECT message_id, coalesce(message_text, '') AS t, row_number() OVER (PARTITION BY message_id ORDER BY ingested_at DESC) AS rn FROM messages) WHERE rn = 1),
+SAFETY_CTES = f"""hits AS (SELECT message_id, t, {_HITS}, ({count_sql('t', X.HIGH_RISK_OPS)}) AS ops FROM {{source}}),
 scored AS (SELECT *, {_SCORES}, {' + '.join(f'(h{i} > 0)::INT' for i in range(_N))} AS k FROM hits),
 best AS (SELECT *, coalesce(greatest({', '.join(f's{i}' for i in range(_N))}), 0e0) AS b FROM scored),
 summed AS (SELECT *, CASE WHEN k > 1 THEN least(1e0, b + 1e-1 * (k - 1)) ELSE b END AS c FROM best),
-final AS (SELECT *, CASE WHEN ops > 0 THEN least(1e0, c + 15e-2 * ops) ELSE c END AS f, list_filter([{_CATS}], lambda x: x IS NOT NULL) AS cats, list_filter([{_CATMAP}], lambda x: x IS NOT NULL) AS each FROM summed)
+final AS (SELECT *, CASE WHEN ops > 0 THEN least(1e0, c + 15e-2 * ops) ELSE c END AS f, list_filter([{_CATS}], lambda x: x IS NOT NULL) AS cats, list_filter([{_CATMAP}], lambda x: x IS NOT NULL) AS each FROM summed)"""
+_SAFETY = "WITH " + SAFETY_CTES.replace("{source}", "(SELECT message_id, coalesce(message_text, '') AS t FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ingested_at DESC) AS rn FROM messages) WHERE rn = 1)") + """
 SELECT message_id, round(f, 3) AS score, f > 5e-1 AS is_anomaly, array_to_string(cats, ',') AS categories, len(cats) AS n_categories, array_to_string(list_sort(each), ',') AS category_scores FROM final"""
 _CURRENT = f"""cur AS (SELECT *, coalesce(given_gap, CASE WHEN lag(session) OVER w = session THEN (us - lag(us) OVER w) / 1e6 END, 30e0) AS gap FROM (
   SELECT message_id AS id, {key_sql('user_id')} AS account, {instant_sql('timestamp')} AS us, coalesce(session_id, 'session_0') AS session, t AS text, lower(t) AS low, coalesce(sequence_in_session, 1) AS seq,
@@ -232,13 +233,13 @@ _OUT = f"""id AS message_id, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)
   op AS operation_risk_assessment, summ AS overall_summary"""
 
 
-def _slots(t: str) -> str:
+def slots_sql(t: str) -> str:
     return f"list_transform({words_sql(f'lower({t})')}, lambda w: CAST('0x' || substr(md5(w), 1, 2) AS INT) % {WIDTH})"
 
 
 #: Each message's cosine to its account's centroid: sums over words in place of vectors.
-_COSINE = f"""bag AS (SELECT id, account, slot, count(*)::DOUBLE AS c FROM (SELECT id, account, unnest({_slots('text')}) AS slot FROM cur) GROUP BY ALL),
-ranked AS (SELECT user_id, {_slots("array_to_string(ws, ' ')")} AS bins, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM hist WINDOW w AS (PARTITION BY user_id ORDER BY us, id)),
+_COSINE = f"""bag AS (SELECT id, account, slot, count(*)::DOUBLE AS c FROM (SELECT id, account, unnest({slots_sql('text')}) AS slot FROM cur) GROUP BY ALL),
+ranked AS (SELECT user_id, {slots_sql("array_to_string(ws, ' ')")} AS bins, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM hist WINDOW w AS (PARTITION BY user_id ORDER BY us, id)),
 cents AS (SELECT {key_sql('user_id')} AS account, slot, sum(CASE WHEN i = 1 THEN power(95e-2, n - 1) ELSE (1e0 - 95e-2) * power(95e-2, n - i) END) AS x FROM (SELECT user_id, unnest(bins) AS slot, i, n FROM ranked) GROUP BY ALL),
 have AS (SELECT DISTINCT {key_sql('user_id')} AS account FROM prof),
 dots AS (SELECT b.id, sum(b.c * coalesce(CASE WHEN h.account IS NULL THEN (b.slot = CAST('0x' || substr(md5('general'), 1, 2) AS INT) % {WIDTH})::INT::DOUBLE ELSE k.x END, 0)) AS dot, sqrt(sum(b.c * b.c)) AS norm, any_value(b.account) AS account, any_value(h.account) AS held
@@ -248,12 +249,12 @@ cosines AS (SELECT id, greatest(-1e0, least(1e0, dot / (norm * CASE WHEN held IS
 learnt AS (SELECT f.*, coalesce(c.cosine, 0e0) AS cosine FROM facts f LEFT JOIN cosines c USING (id))"""
 
 _KEYWORDS = " + ".join(f"contains(lower(text), '{k}')::INT" for k in X.RISK_KEYWORDS)
-_RULES = [(f"({_KEYWORDS}) > 0", f"least(({_KEYWORDS}) * 15e-2, 4e-1)", f"'high_risk_keywords: ' || ({_KEYWORDS})")]
+RULES_SQL = [(f"({_KEYWORDS}) > 0", f"least(({_KEYWORDS}) * 15e-2, 4e-1)", f"'high_risk_keywords: ' || ({_KEYWORDS})")]
 for _p in X.RULE_PATTERNS:
     _name = ("suspicious_pattern: " + _p[:30]).replace("'", "''")
-    _RULES.append((f"regexp_matches(text, '{T.sql_regex(_p)}', '{'i' if _p.startswith('(?i)') else 'c'}')", "25e-2", f"'{_name}'"))
+    RULES_SQL.append((f"regexp_matches(text, '{T.sql_regex(_p)}', '{'i' if _p.startswith('(?i)') else 'c'}')", "25e-2", f"'{_name}'"))
 _MARKS = "(length(text) - length(regexp_replace(text, '[!?.]', '', 'g')))"
-_RULES += [
+RULES_SQL += [
     ("recent > 10", "3e-1", "'rate_limit_exceeded: ' || recent || ' msg/min'"),
     ("length(text) < 10", "1e-1", "'message_too_short: ' || length(text) || ' chars'"),
     ("length(text) > 500", "15e-2", "'message_too_long: ' || length(text) || ' chars'"),
@@ -278,7 +279,7 @@ SQL = {
     "content_safety": _SAFETY,
     "rate_limit_window": f"WITH {_CURRENT} SELECT id AS message_id, {_RECENT.format(s=60)} AS last_minute, {_RECENT.format(s=21600)} AS last_six_hours FROM cur",
     "rule_based_detect": f"""WITH {_CURRENT}, rated AS (SELECT id, text, {_RECENT.format(s=60)} AS recent FROM cur),
-summed AS (SELECT id, least({' + '.join(f'CASE WHEN {c} THEN {s} ELSE 0e0 END' for c, s, _ in _RULES)}, 1e0) AS score, list_filter([{', '.join(f'CASE WHEN {c} THEN {n} END' for c, _, n in _RULES)}], lambda x: x IS NOT NULL) AS rules FROM rated)
+summed AS (SELECT id, least({' + '.join(f'CASE WHEN {c} THEN {s} ELSE 0e0 END' for c, s, _ in RULES_SQL)}, 1e0) AS score, list_filter([{', '.join(f'CASE WHEN {c} THEN {n} END' for c, _, n in RULES_SQL)}], lambda x: x IS NOT NULL) AS rules FROM rated)
 SELECT id AS message_id, round(score, 6) AS score, score > 5e-1 AS is_anomaly, len(rules) AS n_rules, array_to_string(rules, '; ') AS rules FROM summed""",
     "evaluate_rule": f"""WITH {EVALUATED_SQL}, {_told_sql(VERDICT, _RULE_TOLD)} SELECT {_OUT}, array_to_string(f_tem, '; ') AS temporal_factors, n_history >= 20 AS sufficient_history,
   n_typical_all >= 3 AND p_lex_std < 2e-1 AND p_formality_std < 2e-1 AND n_hours >= 3 AS clear_patterns, p_diversity BETWEEN 3e-1 AND 8e-1 AND p_tokens BETWEEN 10 AND 500 AND p_frequency >= 1 AS high_signal_quality FROM told""",

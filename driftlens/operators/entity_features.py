@@ -179,9 +179,11 @@ def batch_deltas(messages: DataFrame, known: DataFrame | None = None) -> DataFra
         ids = messages.where("message_id IS NOT NULL").select(F.col("message_id").alias("event_id"))
         again = cut(again.unionByName(known.select("event_id").join(ids, "event_id", "left_semi")).distinct(), "repeated")
     rows = deliveries(messages)
-    once = rows.join(again, "event_id", "left_anti").where("account IS NOT NULL AND at IS NOT NULL").select("event_id", *VERSION, F.lit(1).cast("long").alias("sign"))
+    # Rows without account or instant are left out after the table is written: a filter here would work out both a second time.
+    able = F.col("account").isNotNull() & F.col("at").isNotNull()
+    once = rows.join(again, "event_id", "left_anti").select("event_id", *VERSION, F.when(able, F.lit(1)).cast("long").alias("sign"))
     more = event_deltas(rows.join(again, "event_id", "left_semi"), None if known is None else known.join(again, "event_id", "left_semi"))
-    return cut(once.unionByName(more.select(*once.columns)), "deltas")
+    return cut(once.unionByName(more.select(*once.columns)), "deltas").where("sign IS NOT NULL")
 
 
 def apply(state: DataFrame | None, known: DataFrame | None, messages: DataFrame) -> tuple[DataFrame, DataFrame]:

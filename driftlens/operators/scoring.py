@@ -158,8 +158,11 @@ def learned(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def composite(rows: DataFrame, config: dict[str, object] | None = None) -> DataFrame:
-    """``score``, ``mechanism``, ``confidence`` and ``risk_level``. Settings may be columns already."""
+def composite(rows: DataFrame, config: dict[str, object] | DataFrame | None = None) -> DataFrame:
+    """``score``, ``mechanism``, ``confidence`` and ``risk_level``. Settings may be columns already, or a table of them by ``id``."""
+    if isinstance(config, DataFrame):
+        rows, config = rows.join(config, "id", "left"), None
+        rows = rows.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in DEFAULT_CONFIG.items() if k in rows.columns})
     for name, value in (DEFAULT_CONFIG | (config or {})).items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(value))
@@ -196,13 +199,13 @@ def flagged(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"red_flags": detectors.red_flags(cols), "mitigating": detectors.mitigating(cols)})
 
 
-def evaluate(messages: DataFrame, profiles: DataFrame, config: dict[str, object] | None = None) -> DataFrame:
+def evaluate(messages: DataFrame, profiles: DataFrame, config: dict[str, object] | DataFrame | None = None) -> DataFrame:
     """By rules: a row per scored message, with what the scores are made of and what they are put down to."""
     rows = flagged(composite(components(prepared(messages, profiles)), config))
     return explain.rationale(explain.by_rules(rows))
 
 
-def evaluate_learned(messages: DataFrame, profiles: DataFrame, config: dict[str, object] | None = None, encoder: Encoder = hashed_bag) -> DataFrame:
+def evaluate_learned(messages: DataFrame, profiles: DataFrame, config: dict[str, object] | DataFrame | None = None, encoder: Encoder = hashed_bag) -> DataFrame:
     """By the learned parts: cosine to the profile's centroid, distance of the style, z-values of the timing."""
     rows = learned(prepared(messages, profiles, encoder))
     rows = rows.withColumns({"semantic": F.col("semantic_ml"), "linguistic": F.col("linguistic_ml"), "temporal": F.col("temporal_ml")})

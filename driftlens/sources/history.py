@@ -7,6 +7,9 @@ bucket, an update rewrites the buckets it touches.
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from driftlens.functions import lexicons as X
 from driftlens.functions.timestamps import iso_instant
 from driftlens.operators.profiles import COLD_HOURS, COLD_START, COLD_TOPICS
 from driftlens.storage import cut
+from driftlens.streaming import online
 
 HISTORY = "user_id string, text string, message string, timestamp string, session_id string, is_anomaly boolean, operation_risk string, _corrupt_record string"
 BUCKETS = 64
@@ -67,6 +71,13 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.substring(F.sha2("content", 256), 1, 12).alias("checksum"))
 
 
+def code_hash(spark: SparkSession, folder: str) -> str:
+    """The first twelve hex digits of the SHA-256 of the files' own digests, in order of their paths: the version of a code base."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(folder)
+    digests = [r[0] for r in files.select("path", F.sha2("content", 256).alias("d")).orderBy("path").select("d").toLocalIterator()]
+    return hashlib.sha256("".join(digests).encode()).hexdigest()[:12]
+
+
 def safe_name(user_id: Column) -> Column:
     """The id with everything but letters, digits, underscore, hyphen and full stop replaced."""
     return F.regexp_replace(user_id, r"[^\p{L}\p{N}_\-.]", "_")
@@ -83,7 +94,10 @@ class ProfileStore:
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return None
-        return self.spark.read.parquet(self.path)
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException:  # a store whose last user was deleted has no file to take columns from
+            return None
 
     def table(self) -> DataFrame | None:
         held = self._read()
@@ -101,6 +115,15 @@ class ProfileStore:
         kept = cut(new.withColumn("_r", newest).where("_r = 1").drop("_r"), "profiles")
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
 
+    def update(self, records: DataFrame) -> None:
+        """Folds new records into the stored profiles of their users, or into cold ones, and stores the outcome. Columns that the fold doesn't keep stay as stored."""
+        held = self.table()
+        folded = cut(online.replay(records, held), "updated")
+        if held is not None:
+            rest = [c for c in held.columns if c not in folded.columns]
+            folded = folded.join(held.select("user_id", *rest), "user_id", "left")
+        self.save(folded)
+
     def load(self, user_id: str) -> DataFrame | None:
         held = self._read()
         if held is None:

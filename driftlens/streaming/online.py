@@ -91,21 +91,33 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     user, state = None, None
     for b in batches:
         done = []
-        for u, text, hour, day, us in zip(b["user_id"], b["text"], b["hour"], b["day"], b["us"], strict=True):
+        for u, text, hour, day, us, held in zip(b["user_id"], b["text"], b["hour"], b["day"], b["us"], b["held"], strict=True):
             if u != user:
                 if user is not None:
                     done.append(_row(user, state))
                 user, state = u, cold()
-            state = step(state, text, int(hour), day, int(us))
+            if held is not None:
+                state = {k: v for k, v in (cold() | json.loads(held)).items() if k in _COLUMNS}
+            else:
+                state = step(state, text, int(hour), day, int(us))
         if done:
             yield pd.DataFrame(done, columns=_COLUMNS)
     if user is not None:
         yield pd.DataFrame([_row(user, state)], columns=_COLUMNS)
 
 
-def replay(records: DataFrame) -> DataFrame:
-    """Profiles after all records, from the cold start."""
-    rows = arriving(records.dropDuplicates(["record_id"]) if "record_id" in records.columns else records)
+def replay(records: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """Profiles after all records, from the cold start; or from ``profiles``, of those users that have one.
+
+    A user's profile comes first in the user's rows, as a state to start from.
+    """
+    rows = arriving(records.dropDuplicates(["record_id"]) if "record_id" in records.columns else records).withColumn("held", F.lit(None).cast("string"))
+    if profiles is not None:
+        have = [c for c in _COLUMNS[1:] if c in profiles.columns]
+        touched = profiles.join(rows.select("user_id").distinct(), "user_id", "left_semi")
+        state = F.to_json(F.struct(*have), {"ignoreNullFields": "true"})
+        first = {"id": F.lit(-(1 << 63)).cast("long"), "text": F.lit(""), "hour": F.lit(0), "day": F.lit(""), "us": F.lit(-(1 << 63)).cast("long"), "held": state}
+        rows = rows.unionByName(touched.select("user_id", *[v.alias(k) for k, v in first.items()]))
     return rows.repartition("user_id").sortWithinPartitions("user_id", "us", "id").mapInPandas(_fold, OUT)
 
 

@@ -2,14 +2,20 @@
 
 SimHash over item-sized windows: every window of ``WINDOW`` words of a document and of an item's own text has a
 64-bit fingerprint of its weighted words. Fingerprints are looked up by blocks: with four blocks of 16 bits, two
-fingerprints within ``RADIUS`` bits agree in some block up to a quarter of it, so probing each block's table of all
-values within that distance misses no pair within the radius. Candidates are then verified by the exact
-similarity of their weighted shingles, and by aligning the item's words with the document's.
+fingerprints within ``RADIUS`` bits agree in some block up to a quarter of it. A block's table has a fingerprint under the values within
+some bits of its own, and a window looks up the values within the bits that are left of the three: what is within three bits meets, so no
+pair within the radius is missed. Few fingerprints are stored under all 697 values, which is quickest; more of them under the 17
+within one bit, which takes some 300 bytes a fingerprint. Candidates are then verified by the exact similarity of their weighted shingles, and by aligning the
+item's words with the document's.
 
 The items are the stated query set: they are collected, what is each item's own and the weights of words are worked out
-over all of them, and the own runs are broadcast in blocks of at most ``BLOCK_ITEMS`` items. Documents
-are the large side; they are read once per block, whole, and never shuffled. A document's work depends on its own
-words alone, so no source or copy can become a hot key.
+over all of them, and the own runs are broadcast in blocks of at most ``BLOCK_PRINTS`` fingerprints, which bounds a block whatever the
+length of its items. Documents are the large side; they are read once, whole, for all blocks, and never shuffled. A document's
+work depends on its own words alone, so no source or copy can become a hot key.
+
+A window is looked up if at least ``GRAMS`` of its runs of ``GRAM`` words are some item's. An edit touches four runs at most, so of the 27
+runs of 30 words seven are left after five edits, and of the 23 of 26 words as many after the four that verification allows: nothing it
+would accept is lost, and most windows of other texts are never looked up.
 
 Text that several items share (runs of ``SHARED_RUN`` words or more that another item has too) isn't an item's own.
 
@@ -36,6 +42,8 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.sources.tables import spread
+
 WINDOW = 30
 #: Every third window of an item has a fingerprint; a document has one at each word, so all offsets are met.
 STRIDE = 3
@@ -48,7 +56,11 @@ EDITS = 0.17
 #: Weighted-shingle similarity that a window pair must have.
 SIMILARITY = 0.68
 SHARED_RUN = 14
-BLOCK_ITEMS = 2000
+#: Fingerprints of a block of items at most: some 150 MB of tables.
+BLOCK_PRINTS = 500_000
+#: Bytes of tables up to which all of a block's distance is stored; beyond, one bit of it is, and the lookup covers the rest.
+TABLE_BYTES = 150_000_000
+GRAM, GRAMS = 4, 5
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|<!--.*?-->", re.S)
 _BREAK = re.compile(r"(?<=[^\W\d_])-\n[>*\s]*(?=[a-zà-ÿ])")
 _WORD = re.compile(r"[^\W_]+")
@@ -98,14 +110,18 @@ Block = tuple[list[tuple[int, list[str]]], int, dict[str, int]]
 
 
 def blocks_of(segments: list[tuple[int, list[str]]], size: int | None = None) -> list[Block]:
-    """The runs by blocks of ``size`` items, with weights' counts over all of them; one block without a size."""
+    """The runs by blocks of about ``size`` fingerprints, an item's runs together, with weights' counts over all of them; one block without a size."""
     counts = Counter(w for _, ws in segments for w in set(ws))
-    ids = sorted({i for i, _ in segments})
-    number = {i: k // (size or len(ids)) for k, i in enumerate(ids)}
-    parts: dict[int, list[tuple[int, list[str]]]] = {0: []}
-    for i, ws in segments:
-        parts.setdefault(number[i], []).append((i, ws))
-    return [(part, max(1, len(segments)), {w: counts[w] for _, ws in part for w in ws}) for part in parts.values()]
+    parts: list[list[tuple[int, list[str]]]] = [[]]
+    held, last = 0, None
+    for i, ws in sorted(segments, key=lambda s: s[0]):
+        n = len(ws) // STRIDE + 2
+        if size and held and held + n > size and i != last:
+            parts.append([])
+            held = 0
+        parts[-1].append((i, ws))
+        held, last = held + n, i
+    return [(part, max(1, len(segments)), {w: counts[w] for _, ws in part for w in ws}) for part in parts]
 
 
 class Index:
@@ -120,6 +136,8 @@ class Index:
         signs = np.array([np.unpackbits(d) for d in digests], dtype=np.float32).reshape(-1, 64) * 2 - 1
         self.vectors = np.vstack([signs * self.weight[:-1, None], np.zeros((1, 64), dtype=np.float32)])
         self.ids = [np.array([self.vocabulary[w] for w in ws]) for _, ws in self.segments]
+        grams = [self.grams(ids) for ids in self.ids if len(ids) >= GRAM]
+        self.own_grams = np.unique(np.concatenate(grams)) if grams else np.empty(0, dtype=np.uint64)
         prints, owner = [], []
         for k, ids in enumerate(self.ids):
             f = self.prints(ids)
@@ -131,17 +149,26 @@ class Index:
         self._build()
 
     def _build(self) -> None:
-        """Per block, for each 16-bit value, the fingerprints whose block is within RADIUS // BLOCKS bits of it."""
-        near = [v for v in range(1 << 16) if v.bit_count() <= RADIUS // BLOCKS]
-        masks = np.array(near, dtype=np.uint16)
+        """Per block, for each 16-bit value, the fingerprints whose block is within the stored bits of it."""
+        bits = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
+        reach = RADIUS // BLOCKS
+        stored = reach if len(self.fingerprints) * int((bits <= reach).sum()) * 4 * BLOCKS <= TABLE_BYTES else 1
+        kept = np.flatnonzero(bits <= stored).astype(np.uint16)
+        self.masks = np.flatnonzero(bits <= reach - stored).astype(np.uint16)
         self.tables = []
         for b in range(BLOCKS):
             part = ((self.fingerprints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
-            values = (part[:, None] ^ masks[None, :]).ravel()
-            which = np.repeat(np.arange(len(part)), len(masks)).astype(np.int32)
-            order = np.argsort(values, kind="stable")
+            values = (part[:, None] ^ kept[None, :]).ravel()
+            which = np.repeat(np.arange(len(part), dtype=np.int32), len(kept))
             starts = np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << 16))])
-            self.tables.append((starts, which[order]))
+            self.tables.append((starts, which[np.argsort(values, kind="stable")]))
+
+    def grams(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each run of GRAM words; other runs may have the same one, which costs a lookup."""
+        code = np.zeros(len(ids) - GRAM + 1, dtype=np.uint64)
+        for k in range(GRAM):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - GRAM + 1 + k].astype(np.uint64) + np.uint64(1)
+        return code
 
     def prints(self, ids: np.ndarray) -> np.ndarray:
         """Fingerprints of all windows of a text's word numbers; of the whole text if it is shorter."""
@@ -153,17 +180,20 @@ class Index:
         return np.packbits(sums > 0, axis=1).view(">u8").ravel().astype(np.uint64)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, fingerprint) pairs within RADIUS bits: all of them."""
-        rows, cols = [], []
+        """(window, fingerprint) pairs within RADIUS bits: all of them, some more than once."""
+        rows, cols = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int32)]
         for b, (starts, which) in enumerate(self.tables):
-            v = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            n = starts[v + 1] - starts[v]
-            row = np.repeat(np.arange(len(prints)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[v], n)
-            col = which[at]
-            ok = np.bitwise_count(prints[row] ^ self.fingerprints[col]) <= RADIUS
-            rows.append(row[ok])
-            cols.append(col[ok])
+            part = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+            for lo in range(0, len(part), 1024):  # bounds what is held at once
+                v = (part[lo : lo + 1024, None] ^ self.masks[None, :]).ravel().astype(np.int32)
+                begin, n = starts[v], starts[v + 1] - starts[v]
+                some = np.flatnonzero(n)
+                count = n[some]
+                row = np.repeat(lo + some // len(self.masks), count)
+                col = which[np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[some], count)]
+                ok = np.bitwise_count(prints[row] ^ self.fingerprints[col]) <= RADIUS
+                rows.append(row[ok])
+                cols.append(col[ok])
         return np.concatenate(rows), np.concatenate(cols)
 
     def similar(self, doc: np.ndarray, item: np.ndarray) -> float:
@@ -202,17 +232,16 @@ class Index:
                     break
         return best
 
-    def leaks(self, text: str) -> list[int]:
-        """The items that a text contains."""
-        words = words_of(text)
+    def leaks(self, words: list[str]) -> list[int]:
+        """The items that a text's words contain."""
         if len(words) < LEAST * (1 - EDITS) or not self.segments:
             return []
         get, none = self.vocabulary.get, len(self.vocabulary)
         ids = np.array([get(w, none) for w in words])
-        # A window that holds too few of the items' words can't be similar enough; what is left is looked up.
-        known = np.cumsum(np.concatenate([[0], ids != none]))
+        at = np.searchsorted(self.own_grams, codes := self.grams(ids))
+        shared = np.cumsum(np.concatenate([[0], self.own_grams[np.minimum(at, len(self.own_grams) - 1)] == codes]))
         span = min(WINDOW, len(ids))
-        enough = known[span:] - known[:-span] >= 0.55 * min(span, LEAST)
+        enough = shared[span - GRAM + 1 :] >= shared[: len(ids) - span + 1] + GRAMS
         if not enough.any():
             return []
         at = np.flatnonzero(enough)
@@ -245,18 +274,14 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
     """``(doc_id, item_id)``: the documents that contain a passage of an item's own text."""
     spark = documents.sparkSession
     rows = sorted((r[0], r[1]) for r in items.select(F.col(item_id), F.col(text)).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).distinct().toLocalIterator())
-    docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    parts = []
-    for block in blocks_of(own_segments(rows), BLOCK_ITEMS):
-        found = _finder(spark.sparkContext.broadcast(block))
-        parts.append(docs.select(F.col(doc_id).alias("doc_id"), F.explode(found(F.col(text))).alias("item_id")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    docs = spread(documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")))
+    found = _finder([spark.sparkContext.broadcast(block) for block in blocks_of(own_segments(rows), BLOCK_PRINTS)])
+    return docs.select("doc_id", F.explode(found(F.col("_t"))).alias("item_id")).distinct()
 
 
 _BUILT: dict[int, Index] = {}
+#: Indexes that a worker keeps built; with more blocks than that they are built again for each batch of documents.
+KEPT = 4
 
 
 def _index(block: Broadcast) -> Index:
@@ -264,19 +289,25 @@ def _index(block: Broadcast) -> Index:
     segments, n, _ = block.value
     key = hash((n, tuple((i, tuple(ws)) for i, ws in segments)))
     if key not in _BUILT:
-        _BUILT.clear()
+        if len(_BUILT) >= KEPT:
+            _BUILT.clear()
         _BUILT[key] = Index([], block.value)
     return _BUILT[key]
 
 
-def _finder(block: Broadcast) -> Callable[[Column], Column]:
-    """A function of a text column for the items in ``block``."""
+def _finder(blocks: list[Broadcast]) -> Callable[[Column], Column]:
+    """A function of a text column: the items of all blocks that it contains. A batch's words are split once, and asked block by block."""
 
     @F.pandas_udf("array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = _index(block)
         for texts in batches:
-            yield pd.Series([index.leaks(t) if t else [] for t in texts.tolist()])
+            words = [words_of(t) if t else [] for t in texts.tolist()]
+            out: list[list[int]] = [[] for _ in words]
+            for block in blocks:
+                index = _index(block)
+                for k, w in enumerate(words):
+                    out[k] += index.leaks(w)
+            yield pd.Series(out)
 
     return found
 

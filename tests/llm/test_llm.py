@@ -210,11 +210,14 @@ def test_shared_text_is_found_across_blocks(spark, monkeypatch):
     items = [(0, f"{noise(50)} {shared}"), (1, noise(60)), (2, noise(60)), (3, f"{noise(50)} {shared}")]
     e = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame([(1, f"{noise(40)} {shared} {noise(40)}"), (2, f"{noise(9)} {items[1][1]} {noise(9)}"), (3, items[3][1])], "doc_id long, text string")
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leaks, "BLOCK_PRINTS", 60)
+    assert len(leaks.blocks_of(leaks.own_segments(items), 60)) > 1
     assert {tuple(r) for r in leaks.leaked(d, e).collect()} == {(2, 1), (3, 3)}
 
 
-def test_no_pair_within_the_radius_is_missed():
+@pytest.mark.parametrize("table_bytes", [0, leaks.TABLE_BYTES])
+def test_no_pair_within_the_radius_is_missed(table_bytes, monkeypatch):
+    monkeypatch.setattr(leaks, "TABLE_BYTES", table_bytes)
     items, *_ = make_items(20)
     x = leaks.Index(items)
     rng = np.random.default_rng(0)
@@ -226,6 +229,24 @@ def test_no_pair_within_the_radius_is_missed():
     assert set(zip(rows.tolist(), cols.tolist(), strict=True)) == want
 
 
+def test_passages_with_edits_are_found():
+    """Recall on passages of 30 words with three edits, spread as one in nine."""
+    items, _, word = make_items(40, seed=9)
+    index = leaks.Index(items)
+    rng = random.Random(12)
+    hit = total = 0
+    for i, text in items:
+        w = text.split()[:60]
+        for _ in range(10):
+            a = rng.randrange(31)
+            passage = w[a : a + 30]
+            for at in sorted(rng.sample(range(2, 28), 3), reverse=True):
+                passage[at : at + 1] = {0: [], 1: [word()], 2: [passage[at], word()]}[rng.randrange(3)]
+            total += 1
+            hit += i in index.leaks([word() for _ in range(40)] + passage + [word() for _ in range(40)])
+    assert hit / total > 0.97, hit / total
+
+
 # ---------------------------------------------------------------- mixing
 def sources(spark):
     rows = [(i, f"word{i} " * (5 + i % 7), s) for i, s in enumerate(["big"] * 400 + ["mid"] * 120 + ["tiny"] * 6)]

@@ -9,8 +9,9 @@ The order isn't made by sorting a source in one task: documents fall into ``BUCK
 summed by source and range (combined before the shuffle), and only the one range of a source where its need is met
 is sorted, a few thousandths of its documents.
 
-Without ``total_tokens`` the mixture is the largest that reaches all shares exactly, given the repeats; with it,
-a source that can't give its part gives all it may and the others keep their targets.
+Without ``total_tokens`` the mixture is the largest that reaches all shares exactly, given the repeats: the source that is scarcest for its share
+sets the total, and what the others could give beyond it is not used. ``total_tokens`` sets the total instead; then a source that can't
+give its part gives all it may and the others keep their targets, so that one small source doesn't shrink the mixture.
 
 Defined results
 * Sources that the targets lack, and documents with null source, text, id or an empty text, aren't used.
@@ -29,9 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlens.sources.tables import spread
 from driftlens.storage import cut
 
 BUCKETS = 4096
+#: Fixed value: how the public vocabulary splits text before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -43,17 +47,22 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 def with_tokens(documents: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``documents`` with ``_tokens``: the number of tokens of the whole text in a public byte-level BPE."""
-    file = path or tokenizer_path()
+    """``documents`` with ``_tokens``: the number of tokens of the whole text in a public byte-level BPE.
+
+    The vocabulary is the file at ``path``, or at the setting ``spark.driftlens.tokenizer``, or the installed public one. The driver
+    reads it, some megabytes, and sends it to the workers, which needn't have it.
+    """
+    spark = documents.sparkSession
+    file = path or spark.conf.get("spark.driftlens.tokenizer", None) or tokenizer_path()
+    with open(file, "rb") as f:
+        held = spark.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import public_tokenizers
         import tiktoken
 
-        with open(file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
+        coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
             yield pd.Series([len(coder.encode_ordinary(t)) if t else 0 for t in texts.tolist()])
 
@@ -89,40 +98,55 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     ``weight`` names a positive column that inclusion probabilities are proportional to; all are alike without it.
     """
     used = documents.where(F.col("doc_id").isNotNull() & F.col("source").isNotNull() & (F.length("text") > 0))
-    used = used.join(F.broadcast(_bounded(targets)), "source", "left_semi")
+    listed = cut(targets.where("target_share > 0 AND source IS NOT NULL").select("source").distinct(), "sources")
+    used = used.join(listed, "source", "left_semi")  # its size is known, and decides how it is joined
     sized = cut(
-        with_tokens(used, path=path).select("doc_id", "source", "_tokens", (F.lit(1.0) if weight is None else F.greatest(F.col(weight).cast("double"), F.lit(1e-9))).alias("_w")).where("_tokens > 0"), "sized"
+        with_tokens(spread(used), path=path).select("doc_id", "source", "_tokens", (F.lit(1.0) if weight is None else F.greatest(F.col(weight).cast("double"), F.lit(1e-9))).alias("_w")).where("_tokens > 0"), "sized"
     )
-    per = plan(sized, targets, total_tokens)
     mass = sized.groupBy("source").agg(F.sum(F.col("_w") * F.col("_tokens")).alias("mass"))
-    per = per.join(mass, "source")
+    per = cut(plan(sized, targets, total_tokens).join(mass, "source"), "plan")
+    if weight is not None:
+        per = cut(_renewed(sized, per), "plan")
     # inclusion probabilities that make the expected tokens the rest; certain ones come first in the order
     p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), F.col("_w") * F.col("rest") / F.col("mass")))
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     odds = (u / (1 - u)) / (p / (1 - p))
-    ranked = sized.join(F.broadcast(per.select("source", "whole", "rest", "mass")), "source").withColumn("_q", odds / (1 + odds))
+    ranked = sized.join(per.select("source", "whole", "rest", "mass"), "source").withColumn("_q", odds / (1 + odds))
     ranked = ranked.withColumn("_b", F.least(F.floor(F.col("_q") * BUCKETS), F.lit(BUCKETS - 1)))
-    sums = ranked.groupBy("source", "_b").agg(F.sum("_tokens").alias("_t"), F.first("rest").alias("_r"))
-    before = F.sum("_t").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    edges = sums.withColumn("_before", F.coalesce(before, F.lit(0))).select("source", "_b", "_t", "_before")
-    placed = ranked.join(F.broadcast(edges), ["source", "_b"])  # at most BUCKETS rows a source
-    clear = placed.where(F.col("_before") + F.col("_t") <= F.col("rest")).select("doc_id", "source", "_tokens", (F.col("whole") + 1).alias("copies"))
-    none = placed.where((F.col("_before") >= F.col("rest")) & (F.col("whole") > 0)).select("doc_id", "source", "_tokens", F.col("whole").alias("copies"))
+    sums = ranked.groupBy("source", "_b").agg(F.sum("_tokens").alias("_t"), F.first("rest").alias("_r"), F.first("whole").alias("_k"))
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Of a source, the ranges before the one that reaches the rest are in, those after it out: that one row says it all.
+    edges = sums.withColumn("_before", before).where((F.col("_before") < F.col("_r")) & (F.col("_before") + F.col("_t") >= F.col("_r")))
+    edges = cut(edges.select("source", F.col("_b").alias("_edge"), "_before"), "edges")
+    placed = ranked.join(edges, "source", "left")
+    at = F.coalesce(F.col("_edge"), F.when(F.col("rest") > 0, F.lit(BUCKETS)).otherwise(F.lit(-1)))  # without an edge all are in, or none
+    clear = placed.where(F.col("_b") != at).select("doc_id", "source", "_tokens", (F.col("whole") + (F.col("_b") < at).cast("long")).alias("copies"))
     within = Window.partitionBy("source").orderBy("_q", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.where((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_t") > F.col("rest")))
     # the last document is taken where that comes nearer to the need than leaving it out
     so_far = F.col("_before") + F.sum("_tokens").over(within)
-    edge = edge.withColumn("_in", (so_far - F.col("_tokens") / 2 <= F.col("rest")).cast("long"))
-    edge = edge.select("doc_id", "source", "_tokens", (F.col("whole") + F.col("_in")).alias("copies")).where("copies > 0")
-    return clear.unionByName(none).unionByName(edge).withColumnRenamed("_tokens", "n_tokens")
+    edge = placed.where(F.col("_b") == at).withColumn("_in", (so_far - F.col("_tokens") / 2 <= F.col("rest")).cast("long"))
+    edge = edge.select("doc_id", "source", "_tokens", (F.col("whole") + F.col("_in")).alias("copies"))
+    return clear.unionByName(edge).where("copies > 0").withColumnRenamed("_tokens", "n_tokens")
 
 
-def _bounded(targets: DataFrame) -> DataFrame:
-    """The listed sources: a table of targets, checked to be small enough to broadcast."""
-    rows = targets.where("target_share > 0 AND source IS NOT NULL").select("source").distinct().limit(100_001)
-    if rows.count() > 100_000:
-        raise ValueError("more than 100,000 sources are listed")
-    return rows
+def _renewed(sized: DataFrame, per: DataFrame) -> DataFrame:
+    """``per`` with the mass by which the probabilities that stay below 1 make up for those that would be above it.
+
+    A document is certain if its weight times rest over mass is 1 or more. What the certain ones give is taken off the rest and
+    their weight off the mass, again until none is added: the mass is scaled so that the order's formula holds as it is.
+    """
+    now = per.withColumn("_mass", F.col("mass"))
+    for _ in range(5):
+        sure = F.col("_w") * F.col("rest") >= F.col("_mass")
+        sums = sized.join(now.select("source", "rest", "_mass"), "source").groupBy("source").agg(F.sum(F.when(sure, F.col("_tokens")).otherwise(0)).alias("_given"), F.sum(F.when(sure, 0.0).otherwise(F.col("_w") * F.col("_tokens"))).alias("_free"))
+        left = F.greatest(F.col("rest") - F.col("_given"), F.lit(1e-9))
+        renewed = F.when((F.col("_given") > 0) & (F.col("_free") > 0), F.col("rest") * F.col("_free") / left).otherwise(F.col("_mass"))
+        now = cut(now.join(sums, "source").withColumn("_was", F.col("_mass")).withColumn("_mass", renewed).drop("_given", "_free"), "mass")
+        done = now.where(F.abs(F.col("_mass") - F.col("_was")) > 1e-9 * F.col("_was")).isEmpty()
+        now = now.drop("_was")
+        if done:
+            break
+    return now.withColumn("mass", F.col("_mass")).drop("_mass")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ Only distinct pairs of entities enter the graph, so a spelling that a third of t
 star steps the neighbours of a node are never gathered in one row: the smallest neighbour is an aggregate
 (combined before the shuffle) that is joined back to the edges, and AQE splits a hot node's join partition.
 
-A component so large that the hash could miss the targets (more than ``heavy_share`` of all rows; at most
-1 / heavy_share of them) is placed first, each on the split that lacks most; the hash ranges of the others are those
-that then remain.
+The split of a component depends on its id alone, so that it stays where it is when the tables grow. Where one component is so
+large that the hash could miss the targets, ``heavy_share`` may be given: components with more than that share of all rows (at most
+1 / heavy_share of them) are placed first, each on the split that lacks most, and the hash ranges of the others are those that then
+remain. Such a placement belongs to one version of the tables; store it with them, as another version may place components elsewhere.
 
 Defined results
 * Null or blank ``user_id``: the row belongs to no account; its message is a component of its own.
@@ -112,7 +113,7 @@ def _unit(id_: Column) -> Column:
     return F.pmod(F.xxhash64(id_, F.lit("split")), F.lit(1 << 30)) / float(1 << 30)
 
 
-def assign_splits(messages: DataFrame, targets: DataFrame, heavy_share: float = 0.002) -> DataFrame:
+def assign_splits(messages: DataFrame, targets: DataFrame, heavy_share: float | None = None) -> DataFrame:
     """``messages`` with its ``split_name``: a row in, a row out.
 
     Where the table has a ``split_name`` already, the new one replaces it.
@@ -123,17 +124,18 @@ def assign_splits(messages: DataFrame, targets: DataFrame, heavy_share: float =
     whole = sum(s for _, s in wanted)
     shares = {n: s / whole for n, s in wanted}
     spelled = cut(spelling_components(messages), "spellings")
-    counted = messages.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    total = messages.count()
-    sizes = counted.join(spelled, "user_id").groupBy("component").agg(F.sum("n").alias("n"))
-    # At most 1 / heavy_share rows reach the driver.
-    heavy = sizes.where(F.col("n") > heavy_share * total).orderBy(F.desc("n"), "component").collect()
-    left = {n: s * total for n, s in shares.items()}
-    placed: dict[str, str] = {}
-    for r in heavy:
-        best = max(left, key=lambda n: (left[n], n))
-        placed[r["component"]] = best
-        left[best] -= r["n"]
+    left, placed = dict(shares), {}
+    if heavy_share is not None:
+        counted = messages.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+        total = messages.count()
+        sizes = counted.join(spelled, "user_id").groupBy("component").agg(F.sum("n").alias("n"))
+        # At most 1 / heavy_share rows reach the driver.
+        heavy = sizes.where(F.col("n") > heavy_share * total).orderBy(F.desc("n"), "component").collect()
+        left = {n: s * total for n, s in shares.items()}
+        for r in heavy:
+            best = max(left, key=lambda n: (left[n], n))
+            placed[r["component"]] = best
+            left[best] -= r["n"]
     free = {n: max(0.0, x) for n, x in left.items()}
     if not sum(free.values()):
         free = dict(shares)

@@ -100,10 +100,18 @@ def test_pairs_and_splits(spark, messages):
     assert splits.assign_splits(messages(), t).count() == 0
 
 
+def test_a_component_stays_in_its_split_when_the_tables_grow(spark, messages):
+    rows = [{"message_id": i, "user_id": f"u00-{i % 50}"} for i in range(200)]
+    more = rows + [{"message_id": 1000 + i, "user_id": "u00-7" if i % 3 else f"u01-{i}"} for i in range(900)]
+    t = spark.createDataFrame([("train", 0.7), ("test", 0.3)], "split_name string, target_share double")
+    before, after = [{r["user_id"]: r["split_name"] for r in splits.assign_splits(messages(*x), t).collect()} for x in (rows, more)]
+    assert all(after[u] == s for u, s in before.items())
+
+
 def test_shares_with_a_hot_account(spark, messages):
     m = messages(*[{"message_id": i, "user_id": "hot" if i % 3 == 0 else f"u00-{i}"} for i in range(1500)])
     t = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, target_share double")
-    got = {r["split_name"]: r["count"] for r in splits.assign_splits(m, t).groupBy("split_name").count().collect()}
+    got = {r["split_name"]: r["count"] for r in splits.assign_splits(m, t, heavy_share=0.002).groupBy("split_name").count().collect()}
     assert abs(got["train"] / 1500 - 0.8) < 0.05
     assert abs(got["test"] / 1500 - 0.1) < 0.04
 

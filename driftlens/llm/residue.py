@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.residue_forms import facts, fillings, places
+from driftlens.sources.tables import spread
 from driftlens.storage import cut
 
 #: Words of the bitmap of places, a power of two; a word has 64 bits.
@@ -44,8 +45,8 @@ def residue_facts(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for texts in batches:
             yield pd.Series([[f._asdict() for f in facts(t) + places(t)] if t else [] for t in texts.tolist()])
 
-    rows = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    return rows.select(F.col(doc_id).alias("doc_id"), F.explode(found(F.col(text))).alias("f")).select(
+    rows = spread(documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")))
+    return rows.select("doc_id", F.explode(found(F.col("_t"))).alias("f")).select(
         "doc_id", "f.kind", F.xxhash64("f.template").alias("template"), "f.value", F.xxhash64("f.beside").alias("beside"), "f.place"
     )
 
@@ -65,7 +66,7 @@ def slots(documents: DataFrame, open_: DataFrame, text: str = "text") -> DataFra
         for texts in batches:
             yield pd.Series([[{"place": p, "value": v, "beside": b} for p, v, b in fillings(t, shared.value)] for t in texts.tolist()])
 
-    held = documents.where(F.length(text) > 0).select(F.explode(filled(F.col(text))).alias("f")).select("f.*").distinct()
+    held = spread(documents.where(F.length(text) > 0).select(F.col(text).alias("_t"))).select(F.explode(filled(F.col("_t"))).alias("f")).select("f.*").distinct()
     by_place = held.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("place").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     left = open_.select("place", "beside").distinct().groupBy("place").agg(F.count(F.lit(1)).alias("n_open"))
     return left.join(by_place, "place").where((2 * F.col("most") <= F.col("n")) & (F.col("n") > F.col("n_open"))).select("place")

@@ -16,22 +16,22 @@ import numpy as np
 
 from driftlens.llm.textnorm import fold, join_spaced
 
-_ID = r"[A-Za-zÀ-ÿ_][\w.\-]{0,40}"
+_ID = r"[A-Za-zÀ-ÿ_][\w.\-]*"
 _ASK = r"(?i:insert|add|enter|your|fill in|put|type|replace|name of|placeholder|todo|tbd|inserte|inserta|insertar|su |tu |escriba|rellenar|ins[ée]rer|votre|saisir|à compl[ée]ter|a completer|einf[üu]gen|ihr |ihre |hier |name |platzhalter|link|date|company|customer|first|last|client|nombre|pr[ée]nom|nom )"
 #: Fixed list: element names of HTML, whose tags are mark-up and no slot.
-_HTML = "a abbr article aside b blockquote body br button caption center cite code col dd del details div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark meta nav ol option p path pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video".replace(" link ", " ").split()
+_HTML = "a abbr article aside b blockquote body br button caption center cite code col dd del details div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li main mark meta nav ol option p path pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video".split()
 #: Words in square brackets that editors and transcripts use.
 _EDITORIAL = "sic laughs laughter applause music inaudible crosstalk noise pause silence unintelligible edit edited citation emphasis redacted link_removed removed deleted i ii iii iv v x ref refs note"
 #: A variable or a blank where a value should stand. Each alternative is a kind of syntax.
 SLOT = re.compile(
     "|".join(
         [
-            r"(?P<mustache>\{\{[^{}\n]{0,60}\}\}|\{\{\{[^{}\n]{0,60}\}\}\}|\{%[^%\n]{0,60}%\}|<%[^%\n]{0,60}%>|<\?=?[^?\n]{0,60}\?>)",
+            r"(?P<mustache>\{\{[^{}\n]*\}\}|\{\{\{[^{}\n]*\}\}\}|\{%[^%\n]*%\}|<%[^%\n]*%>|<\?=?[^?\n]*\?>)",
             rf"(?P<shell>\$\{{ ?{_ID} ?\}}|#\{{ ?{_ID} ?\}}|\$\$ ?{_ID} ?\$\$|\$\( ?{_ID} ?\)|%\( ?{_ID} ?\)s|%%{_ID}%%|%\{{ ?{_ID} ?\}})",
-            rf"(?P<fence>(?<![\w%])%[A-Za-z_][\w.\-]{{1,40}}%(?![\w%])|(?<!\w)__[A-Za-z][\w.\-]{{0,40}}?__(?!\w)|@@{_ID}@@|##{_ID}##|\*\|{_ID}\|\*|\|\*{_ID}\*\||~~{_ID}~~|«{_ID}»(?=\s*[,.]))",
+            rf"(?P<fence>(?<![\w%])%[A-Za-z_][\w.\-]+%(?![\w%])|(?<!\w)__[A-Za-z][\w.\-]*?__(?!\w)|@@{_ID}@@|##{_ID}##|\*\|{_ID}\|\*|\|\*{_ID}\*\||~~{_ID}~~|«{_ID}»(?=\s*[,.]))",
             rf"(?P<double>\[\[ ?{_ID}(?: [\w.\-]+){{0,3}} ?\]\]|<< ?{_ID}(?: [\w.\-]+){{0,3}} ?>>)",
-            rf"(?P<square>\[(?!\s)(?:{_ASK}[^\[\]\n]{{0,40}}|{_ID}|[A-ZÀ-Þ][A-ZÀ-Þ _]{{2,40}}|object Object|\.\.\.|…|_+|\?+)\](?!\())",
-            rf"(?P<angle><(?:{_ASK}[^<>\n]{{0,40}}|{_ID})>|<!--[^<>\n]{{0,60}}(?:here|hier|aqu[ií]|ici|goes|todo|placeholder|insert)[^<>\n]{{0,40}}-->)",
+            rf"(?P<square>\[(?!\s)(?:{_ASK}[^\[\]\n]*|{_ID}|[A-ZÀ-Þ][A-ZÀ-Þ _]{{2,}}|object Object|\.\.\.|…|_+|\?+)\](?!\())",
+            rf"(?P<angle><(?:{_ASK}[^<>\n]*|{_ID})>|<!--[^<>\n]*(?:here|hier|aqu[ií]|ici|goes|todo|placeholder|insert)[^<>\n]*-->)",
             rf"(?P<curly>\{{(?:{_ID}|\d{{1,2}})\}})",
             r"(?P<paren>\((?:add|insert|enter|put|your|inserte|insertar|ins[ée]rer|ajouter|einf[üu]gen|hier|à compl[ée]ter)\b[^()\n]{2,40}\)|\((?:name|date|link|nombre|fecha|nom|datum)\))",
             r"(?P<blank>(?<!\w)X{2,}[/.\-]X{2,}(?:[/.\-]X{2,})?(?!\w)|(?<!\w)(?:DD|TT|JJ|MM)[/.\-](?:MM|DD)[/.\-](?:Y{4}|J{4}|A{4})(?!\w)|(?<![\w_])_{3,}(?![\w_])|(?<!\w)(?:TBD|TODO|FIXME)(?:_\w+)?(?!\w)|(?<!\w)(?P<same>undefined|null|NaN|None|nil)(?: \d{1,3}| (?P=same))(?!\w))",
@@ -39,7 +39,10 @@ SLOT = re.compile(
         ]
     )
 )
-_SLOT_QUICK = re.compile(r"[{}\[<%$#@|_]|X{2}|TBD|TODO|FIXME|undefined|null|NaN|None|nil|DD[/.]|\((?:add|insert|enter|put|your|ins|ajouter|einf|hier|à|name|date|link)")
+#: What some alternative of SLOT begins with or can't be without: a text without any of it has no slot. A test holds it against SLOT.
+_SLOT_QUICK = re.compile(
+    r"[{\[<%$#@|_«~*]|X{2}|(?:DD|TT|JJ|MM)[/.\-]|TBD|TODO|FIXME|undefined|null|NaN|None|nil|\((?:add|insert|enter|put|your|ins[ée]r|ajouter|einf[üu]gen|hier|à compl|name|date|link|nombre|fecha|nom|datum)"
+)
 _FENCED = re.compile(r"```.*?```|~~~.*?~~~|<(code|pre)\b[^>]*>.*?</\1>|`[^`\n]{1,200}`", re.S)
 #: Lines of code outside a fence, and speech about syntax.
 _CODE = re.compile(r"\b(?:print|printf|console\.log|echo|format)\s*\(|\b(?:const|let|var|def|return|import|function)\b .*[=({]|=\s*[`'\"]|=>|\w+\[['\"]\w+['\"]\]|\bf\"|</?\w+ [a-z-]+=|\{\s*\"")
@@ -91,11 +94,12 @@ LOREM = frozenset(
 )
 _TOKEN = re.compile(r"[^\W_]+")
 #: A folded text without any of these matches none of ERROR, or none of FILLER; most texts end here.
-_ERRORS = (
-    "error erreur fehler verweigert denegado denied refuse forbidden unauthori introuvable encontrad encuentra gefunden found permis berechtigung autoris wrong schief salio tourne oops whoops "
-    "uh oh|hoppla|ups|oups|expir|abgelaufen|caducad|timed out|fatal|exception|traceback|stack trace|reset|gateway|available|disponible|verfugbar|erreichbar|exceeded|requests|maintenance|construction|captcha|can't|cannot|could|konnte|exist|reached"
-).replace("uh oh", "uh_oh").replace("timed out", "timed_out").replace("stack trace", "stack_trace").replace("|", " ").split()
-_ERRORS = tuple(w.replace("_", " ") for w in _ERRORS)
+_ERRORS = tuple(
+    "error erreur fehler verweigert denegado denied refuse forbidden unauthori introuvable encontrad encuentra gefunden found permis berechtigung autoris acces wrong schief salio tourne oops whoops "
+    "hoppla ups oups expir abgelaufen caducad fatal exception traceback reset gateway available disponible verfugbar erreichbar exceeded requests maintenance construction captcha can't cannot could konnte exist "
+    "reached page seite file url resource pagina archivo fichier site intern inesperad inattendue"
+    .split()
+) + ("uh oh", "timed out", "stack trace", "mal passe")
 _CODES = re.compile(r"\b(?:40|41|42|45|50|52)\d\b")
 _FILLERS = tuple("text copy content inhalt beschreibung folgt click soon paragraph headline title contenu contenido platzhalter description".split())
 _SCRIPTS = ("script", "cookie", "browser", "navegador", "navigateur", "human", "skripte")
@@ -116,7 +120,7 @@ def segments(text: str) -> list[str]:
 
 
 def masked(segment: str) -> str:
-    return re.sub(r"\b(?=\w*\d)[0-9a-f]{6,}\b|\d+", "0", segment)[:400]
+    return re.sub(r"\b(?=\w*\d)[0-9a-f]{6,}\b|\d+", "0", segment)
 
 
 def _repeats(words: list[str]) -> bool:

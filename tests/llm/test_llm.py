@@ -314,6 +314,34 @@ def test_no_residue(text):
     assert residue_forms.facts(text) == []
 
 
+@pytest.mark.parametrize("text", ["Hola (nombre), gracias.", "Termin am TT.MM.JJJJ", "Bonjour (nom)", "An «Name», hallo", "The page you are looking for has moved.", "Dear {{ " + "customer_" * 20 + "name }}, hi", "Dear [Your " + "very " * 20 + "Long Name], hi"])
+def test_nothing_is_lost_before_the_patterns(text):
+    assert residue_forms.facts(text)
+
+
+def test_quick_filters_agree_with_the_patterns():
+    """On whole texts and on each of their segments: what a pattern finds, its quick filter lets through."""
+    folder = Path("/root/testdata/sf0.1")
+    texts = ["".join(random.Random(i).choices("{}[]<>%$#@|_«»~*() \nXDTJM.-/abnul", k=60)) for i in range(3000)]
+    if folder.exists():
+        import duckdb
+
+        texts += [t for (t,) in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet' WHERE text IS NOT NULL USING SAMPLE 1500").fetchall()]
+    for t in texts:
+        for s in [t, *residue_forms.segments(t)]:
+            low = textnorm.fold(s)
+            assert not residue_forms.SLOT.search(s) or residue_forms._SLOT_QUICK.search(s), s
+            assert not residue_forms.ERROR.search(low) or any(w in low for w in residue_forms._ERRORS) or residue_forms._CODES.search(low), s
+            assert not residue_forms.FILLER.search(low) or any(w in low for w in residue_forms._FILLERS), s
+            assert not residue_forms.NOTICE.search(low) or any(w in low for w in residue_forms._SCRIPTS), s
+
+
+@pytest.mark.parametrize("copies", [3, 8, 1000])
+def test_unfilled_greeting_is_found_however_often(spark, copies):
+    d = spark.createDataFrame([(i, f"Note {i} of the day.\nDear {{{{first_name}}}}, your parcel is here.\nBye.") for i in range(copies)], "doc_id long, text string")
+    assert residue.p8_found(d).count() == copies
+
+
 def test_spoilt_documents(spark):
     rows = [(1, "Hello {name}, welcome."), (2, "All is well."), (3, None), (4, ""), (None, "404 Not Found"), (5, "x. " * 9000 + "Hello [Your Name], hi")]
     wording = [(100 + i, f"Place {i} is far. Write ⟦ [object Object] ⟧ on it as ever. Then walk {chr(97 + i)}{chr(98 + i)}.") for i in range(8)]

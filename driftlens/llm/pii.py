@@ -166,9 +166,14 @@ def find(found: DataFrame) -> DataFrame:
     return told.unionByName(_numbers(found)).unionByName(_persons(found))
 
 
-def replaced(df: DataFrame, spans: DataFrame, text: str) -> DataFrame:
-    """``df`` with the entities of ``spans`` (as ``find`` gives them) in ``text`` replaced by placeholders of their type."""
-    marked = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end", "kind")).alias("_spans"))
+def replaced(df: DataFrame, spans: DataFrame, row_id: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the entities of ``spans`` (as ``find`` gives them) in ``text`` replaced by placeholders of their type.
+
+    Rows meet their spans by id and text (and the columns ``also``), so that neither null texts nor a text that many rows have
+    come together in one task; where the spans are few they are sent to the rows.
+    """
+    keys = [*also, "row_id", "text_key"]
+    marked = cut(spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "end", "kind")).alias("_spans")), "pii-spans").select(*[F.col(k).alias(f"_{k}") for k in keys], "_spans")
 
     @F.pandas_udf("string")
     def filled(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -183,15 +188,17 @@ def replaced(df: DataFrame, spans: DataFrame, text: str) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    keyed = df.withColumn("_text_key", F.xxhash64(F.col(text)))
-    joined = keyed.join(marked.withColumnRenamed("text_key", "_text_key"), "_text_key", "left")
+    same = F.col(row_id).cast("long").eqNullSafe(F.col("_row_id")) & (F.xxhash64(F.col(text)) == F.col("_text_key"))
+    for c in also:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    joined = df.join(marked, same, "left")
     held = F.when(F.col("_spans").isNotNull(), filled(F.col(text), F.col("_spans"))).otherwise(F.col(text))
     return joined.withColumn(text, held).select(*df.columns)
 
 
 def sanitise(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """``df`` with the entities in ``text`` replaced by placeholders of their type; all else stays as it is."""
-    return replaced(df, find(extract(df, "", row_id, text)), text)
+    return replaced(df, find(extract(df, "", row_id, text)), row_id, text)
 
 
 def extract_both(messages: DataFrame, message_records: DataFrame) -> DataFrame:
@@ -204,7 +211,7 @@ def sanitised(messages: DataFrame, message_records: DataFrame) -> DataFrame:
     rows = messages.select(F.lit("messages").alias("record_set"), F.col("message_id").cast("long").alias("row_id"), F.col("message_text").alias("text")).unionByName(
         message_records.select(F.lit("message_records").alias("record_set"), F.col("record_id").cast("long").alias("row_id"), "text")
     )
-    return replaced(rows, find(extract_both(messages, message_records)), "text")
+    return replaced(rows, find(extract_both(messages, message_records)), "row_id", "text", ("record_set",))
 
 
 def p5_found(messages: DataFrame, message_records: DataFrame) -> DataFrame:

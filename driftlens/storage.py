@@ -38,20 +38,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/driftlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._cut_at = path
+    return kept
 
 
-def size_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; exact enough for tables read from files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def release(df: DataFrame) -> None:
+    """Deletes the table that ``cut`` made ``df`` of, where nothing reads it any more."""
+    path = getattr(df, "_cut_at", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+        _written[:] = [w for w in _written if w[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass

@@ -94,3 +94,13 @@ def test_online_fold_keeps_its_bounds(events):
     assert 0 <= state["p_lex"] <= 1
     if events:
         assert state["p_tokens"] == pytest.approx(sum(len(t.split()) for t, _ in events) / len(events))
+
+
+def test_a_cut_table_can_be_released(spark):
+    from driftlens.storage import cut, release
+
+    kept = cut(spark.range(5), "five")
+    assert kept.count() == 5
+    files = [f.removeprefix("file://") for f in kept.inputFiles()]
+    release(kept)
+    assert not any(__import__("os").path.exists(f) for f in files)

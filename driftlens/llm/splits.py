@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions.accounts import account_key
-from driftlens.storage import cut
+from driftlens.storage import cut, release
 
 #: More rounds than any graph with 2**60 nodes needs; reached only by an error.
 MAX_ROUNDS = 60
@@ -45,7 +45,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     now = cut(now, "edges")
     is_now = _signature(now)
     for _ in range(MAX_ROUNDS):
-        was, now = is_now, cut(_small_star(_large_star(now)), "edges")
+        was, before = is_now, now
+        now = cut(_small_star(_large_star(before)), "edges")
+        release(before)
         is_now = _signature(now)
         if is_now == was:
             break
